@@ -10,7 +10,7 @@ Decoding: (text, position, id) rows join the vocabulary, and an ordered string a
 are bytes, carried as one character for each byte.
 
 Only distinct words are encoded, and a bounded memo of CACHE words lives as long as a Python worker. Texts are taken in
-runs of about 2 MB, so memory depends on the longest text and not on the partition.
+runs of about 4 MB, so memory depends on the longest text and not on the partition.
 
 Defined cases: null text is empty; an empty text has no ids and decodes to nothing; repeated rows stay; a null doc_id stays;
 an empty table gives an empty result; further columns are ignored (`encode` and `decode`) or kept (`with_ids`).
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,21 +30,21 @@ from pyspark.sql import functions as F
 
 from voxloom.llm.common import batches, table
 
-LONG, CACHE, AT_ONCE = 48, 400_000, 24_000
+LONG, CACHE, AT_ONCE, AT_TIME = 48, 900_000, 48_000, 4 << 20
 
 _STEP = """
 WITH RECURSIVE s(w, pos, tok, done) AS (
     SELECT w, pos, tok, false FROM todo
     UNION ALL
-    SELECT w, pos, CASE WHEN key = best THEN CAST(key // 4294967296 AS INTEGER) ELSE tok END, best IS NULL
-    FROM (
-        SELECT *, min(key) OVER (PARTITION BY w) AS best
-        FROM (
-            SELECT n.w, n.pos, n.tok, n.prv, CAST(m.rank AS BIGINT) * 4294967296 + n.pos AS key
-            FROM (SELECT w, pos, tok, lead(tok) OVER words AS nxt, lag(pos) OVER words AS prv FROM s WHERE NOT done
-                  WINDOW words AS (PARTITION BY w ORDER BY pos)) n
-            LEFT JOIN merges m ON n.tok = m.a AND n.nxt = m.b))
-    WHERE best IS NULL OR prv IS NULL OR prv <> best % 4294967296)
+    (WITH pairs AS MATERIALIZED (
+        SELECT n.w, n.pos, n.tok, n.prv, CAST(m.rank AS BIGINT) * 4294967296 + n.pos AS key
+        FROM (SELECT w, pos, tok, lead(tok) OVER words AS nxt, lag(pos) OVER words AS prv FROM s WHERE NOT done
+              WINDOW words AS (PARTITION BY w ORDER BY pos)) n
+        LEFT JOIN merges m ON n.tok = m.a AND n.nxt = m.b),
+    least AS (SELECT w, min(key) AS best FROM pairs GROUP BY w)
+    SELECT p.w, pos, CASE WHEN key = best THEN CAST(key // 4294967296 AS INTEGER) ELSE tok END, best IS NULL
+    FROM pairs p JOIN least USING (w)
+    WHERE best IS NULL OR prv IS NULL OR prv <> best % 4294967296))
 SELECT w, list(tok ORDER BY pos) AS ids FROM s WHERE done GROUP BY w
 """
 
@@ -97,9 +98,11 @@ class Codec:
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         self._fill("merges", {"a": a, "b": b, "rank": r, "safe": ~np.isin(r, unsafe)})
         self._fill("vocab", {"id": np.array(list(self.ranks.values()), np.int32), "piece": [k.decode("latin-1") for k in self.ranks]})
-        self.memo: dict[str, int] = {}
-        self.flat: list[np.ndarray] = []
-        self.named: list[str] = []
+        self._forget()
+
+    def _forget(self) -> None:
+        self.memo: dict[str, int] = {}  # word -> its number
+        self.flat, self.start, self.size, self.named = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), []
 
     def _fill(self, name: str, columns: dict) -> None:
         self.con.register("given", pa.table(columns))
@@ -121,7 +124,7 @@ class Codec:
                 lens = np.array([len(words[i]) for i in part])
                 pos = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
                 self._fill("todo", {"w": np.repeat(np.arange(len(part), dtype=np.int32), lens), "pos": pos.astype(np.int32), "tok": self.byte[np.frombuffer(b"".join(words[i] for i in part), np.uint8)]})
-                got = self.con.execute(_LONG_STEP if long else _STEP).to_arrow_table().combine_chunks()
+                got = self.con.sql(_LONG_STEP if long else _STEP).to_arrow_table().combine_chunks()
                 lists = got.column("ids").combine_chunks()
                 ids, at = lists.flatten().to_numpy(), lists.offsets.to_numpy()
                 at = at - at[0]
@@ -129,29 +132,35 @@ class Codec:
                     out[part[w]] = ids[at[j] : at[j + 1]]
         return out
 
-    def learn(self, words: set[str]) -> None:
-        """Put words into the memo."""
-        new = [w for w in words if w not in self.memo]
-        for w, ids in zip(new, self.words([w.encode("utf-8", "surrogatepass") for w in new])):
-            self.memo[w] = len(self.flat)
-            self.flat.append(ids)
-            self.named.append(",".join(map(str, ids.tolist())))
+    def _learn(self, new: list[str]) -> None:
+        ids = self.words([w.encode("utf-8", "surrogatepass") for w in new])
+        self.memo.update(zip(new, range(len(self.named), len(self.named) + len(new))))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(sizes) - sizes))
+        self.size = np.concatenate((self.size, sizes))
+        self.flat = np.concatenate((self.flat, *ids))
+        text = list(map(str, range(len(self.ranks))))
+        self.named += [",".join([text[i] for i in x.tolist()]) for x in ids]
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
         """For each text its ids, as an array and as decimal numbers joined by commas."""
-        if len(self.memo) > CACHE:
-            self.memo, self.flat, self.named = {}, [], []
-        cut = [self.cut.findall(x) for x in texts]
-        seen: set[str] = set()
-        for x in cut:
-            seen.update(x)
-        self.learn(seen)
-        memo, ids, named = self.memo, [], []
-        for x in cut:
-            at = [memo[w] for w in x]
-            named.append(",".join([self.named[i] for i in at]))
-            ids.append(np.concatenate([self.flat[i] for i in at]) if at else np.zeros(0, np.int32))
-        return ids, named
+        if len(self.named) > CACHE:
+            self._forget()
+        words = [self.cut.findall(x) for x in texts]
+        found = [list(map(self.memo.get, x)) for x in words]
+        new = {w for x, own in zip(words, found) if None in own for w, i in zip(x, own) if i is None}
+        if new:
+            self._learn(sorted(new, key=len))  # words of like length leave the recursion together
+            memo = self.memo
+            found = [[memo[w] if i is None else i for w, i in zip(x, own)] if None in own else own for x, own in zip(words, found)]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        at = np.fromiter(chain.from_iterable(found), np.int64, int(counts.sum()))
+        sizes = self.size[at]
+        ends = np.cumsum(sizes)
+        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[at] - ends + sizes, sizes)]
+        bounds = np.concatenate(([0], ends))[np.cumsum(np.concatenate(([0], counts)))]
+        named = self.named
+        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])], [",".join([named[i] for i in own]) for own in found]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each list of ids; an unknown id is an error."""
@@ -191,7 +200,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         own = codec(path, pattern)
         for part in parts:
             texts = pc.fill_null(part.column(1), "").to_pylist()
-            for a, b in batches(texts):
+            for a, b in batches(texts, AT_TIME):
                 ids, _ = own.encode(texts[a:b])
                 at = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
@@ -220,7 +229,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         own = codec(path, pattern)
         for part in parts:
             texts = pc.fill_null(part.column(1), "").to_pylist()
-            for a, b in batches(texts):
+            for a, b in batches(texts, AT_TIME):
                 ids, named = own.encode(texts[a:b])
                 back = own.decode(ids)
                 yield pa.RecordBatch.from_arrays(
@@ -241,7 +250,7 @@ def with_ids(docs: DataFrame, path: str, pattern: str, to: str = "input_ids") ->
         own = codec(path, pattern)
         for part in parts:
             texts = pc.fill_null(part.column(at), "").to_pylist()
-            for a, b in batches(texts):
+            for a, b in batches(texts, AT_TIME):
                 ids, _ = own.encode(texts[a:b])
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))

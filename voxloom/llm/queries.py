@@ -1,6 +1,17 @@
 """Queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
+from voxloom.llm import decontam
+from voxloom.llm.bpe import op2_bpe
+from voxloom.llm.decontam import op8_decontam
+from voxloom.llm.quality import op7_quality
 from voxloom.llm.simhash import op10_simhash
+from voxloom.llm.suffix_dedup import op5_suffix
 
-QUERIES = {"op10_simhash": op10_simhash}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op2_bpe": op2_bpe,
+    "op5_suffix": op5_suffix,
+    "op7_quality": op7_quality,
+    "op8_decontam": op8_decontam,
+    "op10_simhash": op10_simhash,
+}
+ORACLES: dict[str, str] = {"op8_decontam": decontam.ORACLE}
