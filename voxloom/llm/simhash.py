@@ -24,30 +24,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxloom.llm.buckets import bucket_links
 from voxloom.llm.common import cut, table
 from voxloom.llm.components import connected_components, forest
 
 #: Fingerprints on which the tree is fitted, at most; fingerprints in a block, about.
 SAMPLE, BLOCK = 8192, 4096
+#: Bits of the fingerprints that keep_one() compares.
+WIDE = 512
+_ODD = (np.random.default_rng(31).integers(0, 2**63, WIDE // 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
 def fingerprint(text: str | None, k: int = 3) -> int:
     """Fingerprint as an unsigned 64-bit integer."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    norm, n = b" ".join(words), max(1, len(words) - k + 1)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = (np.concatenate(([0], ends[:-1] + 1)))[:n].tolist()
-    stops = (ends[k - 1 :] if len(words) >= k else ends[-1:]).tolist()
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(norm[a:b], 42) for a, b in zip(starts, stops)], dtype="<u8")
-    ones = np.zeros(64, np.int64)
-    for i in range(0, n, 255 * 256):  # sums of 255 bits fit a byte
-        bits = np.unpackbits(h[i : i + 255 * 256].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        bits = np.concatenate((bits, np.zeros((-len(bits) % 255, 64), np.uint8))).reshape(-1, 255, 64)
-        ones += bits.sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(_signs(_shingle_hashes(text or "", k)).view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
@@ -162,5 +152,97 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 3, reach: int
     return prints.join(classes, F.col("fp") == F.col("_fp")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _shingle_hashes(text: str, k: int) -> np.ndarray:
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    norm, n = b" ".join(words), max(1, len(words) - k + 1)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = (np.concatenate(([0], ends[:-1] + 1)))[:n].tolist()
+    stops = (ends[k - 1 :] if len(words) >= k else ends[-1:]).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(norm[a:b], 42) for a, b in zip(starts, stops)], dtype="<u8")
+
+
+def _signs(h: np.ndarray) -> np.ndarray:
+    """For each of 64 bits whether it is set in over half the hashes."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(h), 255 * 256):  # sums of 255 bits fit a byte
+        bits = np.unpackbits(h[i : i + 255 * 256].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.concatenate((bits, np.zeros((-len(bits) % 255, 64), np.uint8))).reshape(-1, 255, 64)
+        ones += bits.sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h), bitorder="little")
+
+
+def wide_fingerprint(text: str | None, k: int = 5) -> np.ndarray:
+    """SimHash of WIDE bits, as bytes, over the set of k-word shingles: each 64 bits from a remixed hash."""
+    h = np.unique(_shingle_hashes(text or "", k))
+    out = []
+    for odd in _ODD:
+        x = h * odd
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        out.append(_signs(x ^ (x >> np.uint64(32))))
+    return np.concatenate(out)
+
+
+def wide_limit(similarity: float, bits: int) -> int:
+    """Differing bits expected at a Jaccard similarity of sets of one size."""
+    return int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5, similarity: float = 0.8, missed: float = 0.05) -> DataFrame:
+    """docs without near-duplicates: of each group the row with the smallest doc_id stays, with all its columns.
+
+    Texts are linked whose WIDE-bit fingerprints over k-word shingle sets differ in no more bits than texts of the given
+    Jaccard similarity are expected to: an estimate with a standard error of 0.035. Such pairs are many bits apart (about 10
+    of 64), where distances to vantage points no longer tell shards apart, so candidates come from tables of sampled
+    fingerprint bits instead; a pair at the limit shares no bucket with chance `missed`.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    c, c2 = F.xxhash64(text), F.xxhash64(F.lit(1), text)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), c.alias("c"), c2.alias("c2"))
+
+    def run(parts):
+        for part in parts:
+            wide = [wide_fingerprint(x.as_py(), k).tobytes() for x in part.column(3)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(wide, pa.binary())], names=["doc_id", "c", "c2", "v"])
+
+    prints = rows.select("doc_id", "c", "c2", "text").mapInArrow(run, "doc_id long, c long, c2 long, v binary")
+    prints = cut(spark, prints)
+    classes = prints.groupBy("c", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"), F.any_value("v").alias("v"))
+    n, limit = prints.count(), wide_limit(similarity, WIDE)
+    bits = min(24, max(8, math.ceil(math.log2(max(1, n))) - 4))
+    tables = math.ceil(math.log(missed) / math.log(1 - (1 - limit / WIDE) ** bits))
+    picked = np.array([np.random.default_rng([5, t]).permutation(WIDE)[:bits] for t in range(tables)])
+
+    def coded(parts):
+        for part in parts:
+            flags = np.unpackbits(np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8).reshape(-1, WIDE // 8), axis=1, bitorder="little")
+            own = (flags[:, picked].astype(np.int32) << np.arange(bits, dtype=np.int32)).sum(axis=2, dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * tables, pa.int32()), pa.array(own.ravel()))
+            yield pa.RecordBatch.from_arrays([*part.columns, lists], names=["c", "c2", "m", "v", "codes"])
+
+    def members(column: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WIDE // 64)
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        apart = np.zeros((len(a), len(b)), np.uint16)
+        for w in range(WIDE // 64):
+            apart += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
+        return apart <= limit
+
+    classes = cut(spark, classes)
+    units = classes.select("c", "c2", "m", "v").mapInArrow(coded, "c long, c2 long, m long, v binary, codes array<int>")
+    found = bucket_links(spark, units, tables << bits, members, near)
+    joined = connected_components(spark, found.where("c != r").select("c", "r"))  # 64 bits name a text here
+    named = classes.select("c", "c2", "rep").join(joined, F.col("c") == F.col("id"), "left").withColumn("to", F.coalesce("component", "c"))
+    best = named.groupBy("to").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "c", "c2")).alias("x")).select(F.col("x.rep").alias("_vx_rep"), F.col("x.c").alias("_vx_c"), F.col("x.c2").alias("_vx_c2"))
+    again = not prints.groupBy("doc_id", "c", "c2").count().where("count > 1").isEmpty()
+    here = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    kept = docs.join(best, docs["doc_id"].cast("long").eqNullSafe(F.col("_vx_rep")) & (here == F.col("_vx_c")), "inner")
+    return (kept.dropDuplicates(["_vx_c", "_vx_c2"]) if again else kept).select(*(docs[f"`{x}`"] for x in docs.columns))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
