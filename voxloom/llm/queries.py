@@ -6,6 +6,7 @@ from voxloom.llm.chat_format import op1_chat
 from voxloom.llm.decontam import op8_decontam
 from voxloom.llm.embedding_dedup import op3_embeddings
 from voxloom.llm.licenses import op4_licenses
+from voxloom.llm.ngram_lm import op6_lm
 from voxloom.llm.quality import op7_quality
 from voxloom.llm.simhash import op10_simhash
 from voxloom.llm.suffix_dedup import op5_suffix
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_embeddings": op3_embeddings,
     "op4_licenses": op4_licenses,
     "op5_suffix": op5_suffix,
+    "op6_lm": op6_lm,
     "op7_quality": op7_quality,
     "op8_decontam": op8_decontam,
     "op9_urls": op9_urls,
