@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,33 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """df written as a Parquet table in the shared folder and read again: cuts lineage, and is smaller than a checkpoint."""
+    at = new_path(spark, name)
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+class Members:
+    """A bit table of 64-bit keys, of at most 2**28 bits (32 MB) however many keys there are: no false negatives."""
+
+    def __init__(self, spark: SparkSession, keys: DataFrame):
+        """keys: one long column."""
+        n = keys.count()
+        self.size = 1 << min(28, max(15, (16 * n).bit_length()))
+        at = F.col(keys.columns[0]).bitwiseAND(F.lit(self.size - 1))
+        rows = keys.groupBy(F.shiftright(at, 15).alias("b")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767))).alias("bits")).collect()  # at most 8192 rows
+        table = np.zeros(self.size // 8, np.uint8)
+        for r in rows:
+            table[r.b * 4096 : (r.b + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
+        self.sent = spark.sparkContext.broadcast(table)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each key may be there."""
+        at = keys & (self.size - 1)
+        return (self.sent.value[at >> 3] >> (at & 7)).astype(np.uint8) & 1 == 1
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import cut, table
+from voxloom.llm.common import Members, cut, stored, table
 
 LENGTH, GRAM, HOT = 400, 32, 8192
 _CHUNK, _POS = 1 << 19, (1 << 20) - 1
@@ -266,8 +266,21 @@ def _join_places(parts):
 
 
 def _text_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, t, k, text): t and k name the text, and the row's id and text, by 64 bits."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    return rows.select("doc_id", "t", F.xxhash64("t", "doc_id").alias("k"), "text")
+
+
+def _only(members: Members, at: int, inside: bool):
+    """Rows whose key (a column) may be among the members, or cannot be."""
+
+    def run(parts):
+        for part in parts:
+            keep = members(part.column(at).to_numpy())
+            yield part.filter(pa.array(keep if inside else ~keep))
+
+    return run
 
 
 def removed_ranges(spark: SparkSession, docs: DataFrame, length: int = LENGTH, keep: str = "first", hot: int = HOT) -> DataFrame:
@@ -284,14 +297,19 @@ def removed_ranges(spark: SparkSession, docs: DataFrame, length: int = LENGTH, k
                 at = pa.array(own)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(lo), pa.array(n.astype(np.int32)), pa.array(h), pa.array(key)], names=["doc_id", "t", "lo", "n", "h", "key"])
 
-    found = cut(spark, text.mapInArrow(scan, "doc_id long, t long, lo long, n int, h long, key long"))
+    # most anchors occur once: they go before anything else is shuffled
+    found = stored(spark, text.select("doc_id", "t", "text").mapInArrow(scan, "doc_id long, t long, lo long, n int, h long, key long"), "anchors")
+    shared = found.groupBy("h").agg(F.count("*").alias("all")).where("all > 1").select(F.col("h").alias("_h"))
+    found = stored(spark, found.join(shared, F.col("h") == F.col("_h"), "left_semi"), "anchors")
     classes = found.groupBy("h", "key").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "t", "lo")).alias("first"), F.min("n").alias("n"))
-    per_hash = classes.groupBy("h").agg(F.count("*").alias("c"), F.sum("m").alias("all")).where("all > 1").select(F.col("h").alias("_h"), "c")
+    per_hash = classes.groupBy("h").agg(F.count("*").alias("c")).withColumnRenamed("h", "_h")
     classes = cut(spark, classes.join(per_hash, F.col("h") == F.col("_h")).select("h", "key", "m", "first", "n", "c"))
 
     # the bytes of classes that share their anchor hash with another class
     wanted = classes.where("c > 1").select(F.col("first.doc_id").alias("_d"), F.col("first.t").alias("_t"), F.struct("h", "key", "m", "first.lo", "n", "c").alias("x")).groupBy("_d", "_t").agg(F.collect_set("x").alias("own"))
-    held = text.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t"))).select("doc_id", "t", F.encode("text", "utf-8").alias("raw"), "own")
+    wanted = cut(spark, wanted)
+    some = Members(spark, wanted.select(F.xxhash64("_t", "_d")))
+    held = text.mapInArrow(_only(some, 2, True), text.schema).join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t"))).select("doc_id", "t", F.encode("text", "utf-8").alias("raw"), "own")
 
     def take(parts):
         for part in parts:
@@ -358,29 +376,43 @@ def whole_characters(raw: bytes, runs: list[tuple[int, int]]) -> list[tuple[int,
     return out
 
 
+def _with_ranges(spark: SparkSession, docs: DataFrame, gone: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(documents that may lose bytes, with _vx_own; documents that cannot): only texts of the first are shuffled."""
+    gone = cut(spark, gone)
+    some = Members(spark, gone.select(F.xxhash64("_vx_t", "_vx_d")))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.withColumn("_vx_t1", F.xxhash64(text)).withColumn("_vx_k", F.xxhash64("_vx_t1", F.col("doc_id").cast("long")))
+    at = len(docs.columns) + 1
+    inside, outside = (rows.mapInArrow(_only(some, at, x), rows.schema) for x in (True, False))
+    inside = inside.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_vx_d")) & (F.col("_vx_t1") == F.col("_vx_t")), "left")
+    cols = [f"`{n}`" for n in names]
+    return inside.select(*cols, "_vx_own"), outside.select(*cols)
+
+
 def kept_bytes(spark: SparkSession, docs: DataFrame, length: int = LENGTH, keep: str = "none", hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of docs (doc_id, text)."""
-    gone = removed_ranges(spark, docs, length, keep, hot)
-    rows = _text_rows(docs).join(gone, F.col("doc_id").eqNullSafe(F.col("_vx_d")) & (F.col("t") == F.col("_vx_t")), "left").select("doc_id", "text", "_vx_own")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    inside, outside = _with_ranges(spark, docs, removed_ranges(spark, docs, length, keep, hot), ["doc_id", "text"])
 
     def run(parts):
         for part in parts:
             out = []
-            for raw, own in zip(part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist()):
+            owns = part.column(2).to_pylist() if part.num_columns > 2 else [None] * part.num_rows
+            for raw, own in zip(part.column(1).cast(pa.binary()).to_pylist(), owns):
                 runs = runs_of(own, len(raw), length) if own else []
                 out.append((len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(without(raw, runs)).hexdigest()))
             n, gone, spans, digest = zip(*out) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return inside.mapInArrow(run, kind).union(outside.mapInArrow(run, kind))
 
 
 def dedup_text(spark: SparkSession, docs: DataFrame, length: int = LENGTH, keep: str = "first", hot: int = HOT) -> DataFrame:
     """docs with repeated passages cut out of `text`; characters stay whole, and all other columns pass through."""
-    gone = removed_ranges(spark, docs, length, keep, hot)
     names, at = docs.columns, docs.columns.index("text")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_vx_d")) & (F.xxhash64(text) == F.col("_vx_t")), "left").select(*(f"`{n}`" for n in names), "_vx_own")
+    docs = docs.select(*(F.col(f"`{n}`").cast("string").alias(n) if n == "text" else f"`{n}`" for n in names))
+    inside, outside = _with_ranges(spark, docs, removed_ranges(spark, docs, length, keep, hot), names)
 
     def run(parts):
         for part in parts:
@@ -391,7 +423,7 @@ def dedup_text(spark: SparkSession, docs: DataFrame, length: int = LENGTH, keep:
                     out[i] = without(raw, whole_characters(raw, runs_of(own, len(raw), length))).decode()
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else part.column(i) for i in range(len(names))], names=names)
 
-    return rows.mapInArrow(run, docs.select(*(F.col(f"`{f.name}`").cast("string").alias(f.name) if f.name == "text" else f"`{f.name}`" for f in docs.schema.fields)).schema)
+    return inside.mapInArrow(run, docs.schema).union(outside)
 
 
 def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
