@@ -73,25 +73,28 @@ class EliasFano:
         return np.where(high > 0, w * 64 + _select_in_word(~self.high[w], k - self.zeros[w]) - k, 0)
 
     def find(self, x: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
-        """Position of each x, or -1; only in [begin, end) if given."""
+        """Position of the first value that equals x, or -1; only in [begin, end) if given.
+
+        A binary search over the low bits, inside the run of values that share x's high part.
+        """
         x = np.asarray(x, np.int64)
         if not self.n or not len(x):
             return np.full(len(x), -1, np.int64)
         high, target = x >> self.l, (x & int(self.mask)).astype(np.uint64)
-        most = 64 * len(self.high) - self.n - 1
-        far = high >= most
+        far = (high >= 64 * len(self.high) - self.n - 1) | (x < 0)
         high = np.where(far, 0, high)
         lo, hi = self._below(high), self._below(high + 1)
-        lo, hi = (lo if begin is None else np.maximum(lo, begin)), (hi if end is None else np.minimum(hi, end))
-        stop = hi
-        live = np.flatnonzero(lo < hi)
-        lo, hi = lo.copy(), hi.copy()
-        while len(live):  # the first position whose low bits are not smaller
+        if begin is not None:
+            lo, hi = np.maximum(lo, begin), np.minimum(hi, end)
+        stop, hi = hi, hi.copy()
+        live = np.flatnonzero(~far & (lo < hi))
+        while len(live):
             mid = (lo[live] + hi[live]) >> 1
             less = self._low(mid) < target[live]
-            lo[live] = np.where(less, mid + 1, lo[live])
-            hi[live] = np.where(less, hi[live], mid)
+            lo[live[less]] = mid[less] + 1
+            hi[live[~less]] = mid[~less]
             live = live[lo[live] < hi[live]]
-        ok = ~far & (lo < stop)
-        ok[ok] = self._low(lo[ok]) == target[ok]
-        return np.where(ok, lo, -1)
+        out, ok = np.full(len(x), -1, np.int64), np.flatnonzero(~far & (lo < stop))
+        ok = ok[self._low(lo[ok]) == target[ok]]
+        out[ok] = lo[ok]
+        return out

@@ -9,9 +9,9 @@ end) that are seen at least TWICE; rest(u) is what the discounted bigrams leave
 one up to quantisation: log10 of P(w | u) and of rest(u) are kept in steps of STEP.
 
 Levels, each an Elias-Fano code cut into shards of about SHARD entries: (1) the sorted 63-bit hashes of all training words,
-with counts; a word's id is its position; (2) the contexts with their rests; (3) the bigrams: for each context a monotone
-pointer to its first child, and the children's ids, made monotone by the context's place in front of them. A bigram is found by
-a successor search between two pointers. Levels are written by executors to the folder they share and read by memory maps;
+with counts; a word's id is its position; (2) the contexts with their rests and monotone pointers to their first children;
+(3) the children's ids, made monotone by the context's position in front of them. A bigram is found by a successor search
+between its context's pointers, which a worker's memo keeps with the word; each bigram of a run of texts is sought once. Levels are written by executors to the folder they share and read by memory maps;
 where that folder is no local path they are read through pyarrow's file systems into memory. Files are moved into place when
 complete, so a task that runs again does no harm.
 
@@ -24,8 +24,8 @@ time; with no training text P1 is 1; an empty table gives an empty result; furth
 from __future__ import annotations
 
 import io
-import math
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -168,15 +168,29 @@ def held_out(doc_id) -> F.Column:
 
 
 class Vocabulary:
-    """A bounded memo of words in front of the first level: slots with id (or -1) and count."""
+    """A bounded memo of words in front of the levels: slots with id (or -1), count and, for contexts, rest and pointers."""
 
-    def __init__(self, level: Level):
-        self.level = level
+    def __init__(self, words: Level, contexts: Level | None = None):
+        self.words, self.contexts = words, contexts
+        if contexts is not None:
+            self.pointers = [EliasFano(*contexts.shard(k)[2:5]) for k in range(len(contexts.first))]
+            self.kids = np.cumsum([0, *(int(p.values(np.array([p.n - 1]))[0]) for p in self.pointers)])
         self.forget()
 
     def forget(self) -> None:
         self.slot: dict[bytes, int] = {}
-        self.id, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.id, self.count, self.begin, self.end, self.rest, self.at = (np.zeros(0, np.int64) for _ in range(6))
+
+    def _context(self, ids: np.ndarray):
+        """(first child, end of the children, rest, position) of each id; no children for what is no context."""
+        begin, end = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        at, rest = self.contexts.find(ids)
+        of = np.searchsorted(self.contexts.before, at, "right") - 1
+        for k, p in enumerate(self.pointers):
+            rows = np.flatnonzero((at >= 0) & (of == k))
+            i = at[rows] - self.contexts.before[k]
+            begin[rows], end[rows] = p.values(i) + self.kids[k], p.values(i + 1) + self.kids[k]
+        return begin, end, rest, at
 
     def slots(self, texts: list[list[bytes]]) -> list[list[int]]:
         if len(self.slot) > MEMO:
@@ -184,14 +198,22 @@ class Vocabulary:
         found = [list(map(self.slot.get, x)) for x in texts]
         new = list({w for x, own in zip(texts, found) if None in own for w, i in zip(x, own) if i is None})
         if new:
-            at, count = self.level.find(np.fromiter(map(word_hash, new), np.int64, len(new)))
+            at, count = self.words.find(np.fromiter(map(word_hash, new), np.int64, len(new)))
             self.slot.update(zip(new, range(len(self.id), len(self.id) + len(new))))
             self.id, self.count = np.concatenate((self.id, at)), np.concatenate((self.count, count))
+            if self.contexts is not None:
+                self.begin, self.end, self.rest, self.at = (np.concatenate(x) for x in zip((self.begin, self.end, self.rest, self.at), self._context(at)))
             slot = self.slot
             found = [[slot[w] if i is None else i for w, i in zip(x, own)] if None in own else own for x, own in zip(texts, found)]
         return found
 
 
+def _flat(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(slots of all texts, tokens of each text)."""
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    return np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum())), sizes
+
+
 def _counts(parts):
     """Rows (held, text) -> (h, n) of training tokens."""
 
@@ -222,9 +244,9 @@ def _pairs(make_level, often: int):
             texts = [x for held, x in zip(part.column(0).to_pylist(), pc.fill_null(part.column(1), "").to_pylist()) if not held]
             for a, b in batches(texts):
                 found = words.slots([tokens(x) for x in texts[a:b]])
-                at = np.concatenate([np.array(x, np.int64) for x in found])
-                ids = np.where(words.count[at] >= often, words.id[at], -1)
-                last = np.cumsum([len(x) for x in found]) - 1
+                at, sizes = _flat(found)
+                ids = np.where(words.count >= often, words.id, -1)[at]
+                last = np.cumsum(sizes) - 1
                 ok = (ids[:-1] >= 0) & (ids[1:] >= 0)
                 ok[last[:-1]] = False
                 keys.append((ids[:-1][ok] << ID_BITS) | ids[1:][ok])
@@ -241,11 +263,11 @@ class Model:
     """What is needed to open the levels: paths, first keys and sizes of shards, N and V."""
 
     def __init__(self, path: str, total: int, distinct: int):
-        self.path, self.total, self.distinct = path, total, distinct
+        self.path, self.total, self.distinct, self.id_bits = path, total, distinct, max(1, distinct.bit_length())
         self.shards: dict[str, list] = {"words": [], "contexts": [], "bigrams": []}
 
     def level(self, name: str) -> Level:
-        return Level(f"{self.path}/{name}", self.shards[name], {"words": ("count",), "contexts": ("rest",), "bigrams": ("code", "p_low", "p_high", "p_shape")}[name])
+        return Level(f"{self.path}/{name}", self.shards[name], {"words": ("count",), "contexts": ("rest", "p_low", "p_high", "p_shape"), "bigrams": ("code", "base")}[name])
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         """log10 P1 of counts."""
@@ -272,15 +294,17 @@ def train(spark: SparkSession, docs: DataFrame, often: int = OFTEN) -> Model:
     def rest(u, mass):
         return quantised(np.log10(np.maximum(1 - mass / model.level("words").value(u), 1e-9)))
 
-    model.shards["contexts"] = write_level(contexts.select("u", "mass"), n.c, f"{model.path}/contexts", lambda u, mass: encode(u - u[0]) | {"rest": rest(u, mass)})
+    def pointers(kids):
+        return {f"p_{k}": v for k, v in encode(np.concatenate(([0], np.cumsum(kids)))).items()}
+
+    model.shards["contexts"] = write_level(contexts.select("u", "mass", "n"), n.c, f"{model.path}/contexts", lambda u, mass, kids: encode(u - u[0]) | {"rest": rest(u, mass)} | pointers(kids))
 
     def children(key, n, mass):
         words, u, w = model.level("words"), key >> ID_BITS, key & ((1 << ID_BITS) - 1)
         c = words.value(u)
         p = (n - DISCOUNT) / c + np.maximum(1 - mass / c, 1e-9) * 10 ** model.base(words.value(w))
-        own = np.arange(int(u[0]), int(u[-1]) + 2)
-        pointers = encode(np.searchsorted(u, own))
-        return encode(key - key[0]) | {"code": quantised(np.log10(p))} | {f"p_{k}": v for k, v in pointers.items()}
+        key = (model.level("contexts").find(u)[0] << model.id_bits) | w
+        return encode(key - key[0]) | {"code": quantised(np.log10(p)), "base": key[:1]}
 
     few = contexts.withColumnRenamed("u", "_u")
     joined = pairs.join(F.broadcast(few) if n.c <= 500_000 else few, F.col("u") == F.col("_u")).select("key", pairs["n"], "mass")
@@ -288,16 +312,23 @@ def train(spark: SparkSession, docs: DataFrame, often: int = OFTEN) -> Model:
     return model
 
 
-def find_bigrams(level: Level, u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Codes of bigrams, -1 for those that are not kept: between the context's pointers, the successor of the child."""
-    key, out = (u << ID_BITS) | w, np.full(len(u), -1, np.int64)
-    for k, rows in level.split(key):
-        ids, code, low, high, shape = level.shard(k)
-        pointers = level.opened.setdefault((k, "p"), EliasFano(low, high, shape))
-        c = u[rows] - (level.first[k] >> ID_BITS)
-        rows, c = rows[c < pointers.n - 1], c[c < pointers.n - 1]
-        at = ids.find(key[rows] - level.first[k], pointers.values(c), pointers.values(c + 1))
-        out[rows[at >= 0]] = code[at[at >= 0]]
+def find_bigrams(level: Level, key: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Codes of bigrams, -1 for those that are not kept: the successor of the child between its context's pointers.
+
+    key: the context's position and the child's id. Positions run through all shards; a context whose children lie in several
+    is looked up in each.
+    """
+    out, at = np.full(len(key), -1, np.int64), begin.copy()
+    live = np.flatnonzero(begin < end)
+    while len(live):
+        of = np.searchsorted(level.before, at[live], "right") - 1
+        for k in np.unique(of).tolist():
+            rows, base = live[of == k], level.before[k]
+            ids, code, first = level.shard(k)
+            i = ids.find(np.maximum(key[rows] - first[0], -1), at[rows] - base, np.minimum(end[rows], level.before[k + 1]) - base)
+            out[rows[i >= 0]] = code[i[i >= 0]]
+        at[live] = level.before[of + 1]
+        live = live[(out[live] < 0) & (at[live] < end[live])]
     return out
 
 
@@ -310,29 +341,26 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(parts):
         if model.path not in _MODELS:
             _MODELS.clear()
-            _MODELS[model.path] = Vocabulary(model.level("words")), model.level("contexts"), model.level("bigrams")
-        words, contexts, bigrams = _MODELS[model.path]
+            _MODELS[model.path] = Vocabulary(model.level("words"), model.level("contexts")), model.level("bigrams")
+        words, bigrams = _MODELS[model.path]
         for part in parts:
             texts = pc.fill_null(part.column(2), "").to_pylist()
             out = [[], [], [], []]
-            for a, b in batches(texts):
-                found = words.slots([tokens(x) for x in texts[a:b]])
-                sizes = np.array([len(x) for x in found])
-                at = np.concatenate([np.array(x, np.int64) for x in found])
+            for a, b in batches(texts, 6 << 20):
+                at, sizes = _flat(words.slots([tokens(x) for x in texts[a:b]]))
                 first = np.cumsum(sizes) - sizes
                 count, ids = words.count[at], words.id[at]
-                base = model.base(count)
+                base = model.base(words.count)[at]
                 logs = base.copy()
-                used, back = np.unique(at, return_inverse=True)
-                c_at, rest = contexts.find(words.id[used])
-                is_context, rest = (c_at >= 0)[back], (-STEP * rest)[back]
                 after = np.zeros(len(at), bool)
-                after[1:] = is_context[:-1]
+                after[1:] = (words.end > words.begin)[at[:-1]]
                 after[first] = False
                 t = np.flatnonzero(after)
-                logs[t] += rest[t - 1]
+                logs[t] -= STEP * words.rest[at[t - 1]]
                 t = t[ids[t] >= 0]
-                code = find_bigrams(bigrams, ids[t - 1], ids[t])
+                u = at[t - 1]
+                key, one, back = np.unique((words.at[u] << model.id_bits) | ids[t], return_index=True, return_inverse=True)
+                code = find_bigrams(bigrams, key, words.begin[u[one]], words.end[u[one]])[back]
                 logs[t[code >= 0]] = -STEP * code[code >= 0]
                 for to, x in zip(out, (sizes, np.add.reduceat((count > 0).astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(logs, first))):
                     to.append(x)
