@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,3 +89,17 @@ def batches(texts, limit: int = 2 << 20):
         held += n
     if len(texts) > a:
         yield a, len(texts)
+
+
+def slices(part, column: int, limit: int = 4 << 20):
+    """Parts of an Arrow batch that hold about `limit` bytes of a text column at most, so that Python objects stay few."""
+    sizes = pc.fill_null(pc.binary_length(part.column(column)), 0).to_numpy(zero_copy_only=False)
+    for a, b in batches([range(n) for n in sizes], limit):
+        yield part.slice(a, b - a)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a reused worker would keep its peak otherwise."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

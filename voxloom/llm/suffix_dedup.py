@@ -29,14 +29,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import Members, cut, stored, table
+from voxloom.llm.common import Members, cut, give_back, slices, stored, table
 
-LENGTH, GRAM, HOT = 400, 32, 8192
-_CHUNK, _POS = 1 << 19, (1 << 20) - 1
+LENGTH, GRAM, HOT = 400, 32, 2048
+_CHUNK, _HELD, _POS = 1 << 17, 1 << 18, (1 << 20) - 1
 _BYTE = np.random.default_rng(20240229).integers(0, 2**64, 256, dtype=np.uint64)
 _MULT = (np.random.default_rng(77).integers(0, 2**63, 8, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -89,7 +90,7 @@ def _pieces(texts: list[bytes], length: int):
     for i, x in enumerate(texts):
         for a in range(0, max(1, len(x) - length + 1), _CHUNK):
             piece = x[a : a + _CHUNK + length - 1]
-            if held + len(piece) > _POS and parts:
+            if held + len(piece) > _HELD and parts:
                 yield b"".join(parts), np.cumsum([0, *map(len, parts)]), own, offsets
                 parts, own, offsets, held = [], [], [], 0
             parts.append(piece), own.append(i), offsets.append(a)
@@ -111,12 +112,12 @@ def excerpt_rows(texts: list[bytes], length: int):
 
 def _dense(keys: np.ndarray) -> np.ndarray:
     order = np.argsort(keys)
-    s = keys[order]
-    step = np.empty(len(s), np.int64)
-    step[:1] = 0
-    np.not_equal(s[1:], s[:-1], out=step[1:], casting="unsafe")
-    rank = np.empty(len(s), np.int64)
-    rank[order] = np.cumsum(step)
+    keys = keys[order]
+    step = np.zeros(len(keys), np.int32)
+    np.not_equal(keys[1:], keys[:-1], out=step[1:], casting="unsafe")
+    np.cumsum(step, out=step)
+    rank = keys.view(np.int64)  # not needed any more
+    rank[order] = step
     return rank
 
 
@@ -219,34 +220,40 @@ def compare(excerpts: list[bytes], counts: list[int], length: int):
 _LISTS = pa.list_(pa.int32())
 
 
-def _compare_sorted(length: int, at_once: int = 2 << 20):
-    """Rows (h, key, m, excerpt) sorted by h -> (h, key, other, later); whole groups of h at a time."""
+def _compare_sorted(length: int, at_once: int = 1 << 19):
+    """Rows (h, doc_id, t, lo, key, m, excerpt) sorted by the first four -> (h, key, other, later); whole groups of h at a time.
+
+    A class comes as a row with m and no excerpt; rows with an excerpt that belong to no such row are passed over.
+    """
 
     def run(parts):
         def done(rows):
-            found = list(compare([r[3] for r in rows], [r[2] for r in rows], length))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([x for x, _ in found], _LISTS), pa.array([x for _, x in found], _LISTS)], names=["h", "key", "other", "later"])
+            known = {r[:5]: r[5] for r in rows if r[6] is None}
+            own = list({r[:5]: r for r in rows if r[6] is not None and r[:5] in known}.values())
+            found = list(compare([r[6] for r in own], [known[r[:5]] for r in own], length)) if own else []
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in own], pa.int64()), pa.array([r[4] for r in own], pa.int64()), pa.array([x for x, _ in found], _LISTS), pa.array([x for _, x in found], _LISTS)], names=["h", "key", "other", "later"])
 
         held, size = [], 0
         for part in parts:
-            for row in zip(*(part.column(i).to_pylist() for i in range(4))):
+            for row in zip(*(part.column(i).to_pylist() for i in range(7))):
                 if size >= at_once and row[0] != held[-1][0]:
                     yield done(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[6] or b"")
         if held:
             yield done(held)
+        give_back()
 
     return run
 
 
 def _places(length: int):
-    """Rows (h, key, m, excerpt, doc_id, t, lo, c) -> a row for each place, with 128 bits for the string that starts there."""
+    """Rows (h, doc_id, t, lo, key, excerpt) -> a row for each place, with 128 bits for the string that starts there."""
 
     def run(parts):
         for part in parts:
-            for h, key, raw, d, t, lo in zip(*(part.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6))):
+            for h, d, t, lo, key, raw in zip(*(part.column(i).to_pylist() for i in range(6))):
                 n = len(raw) - length + 1
                 digest = [xxhash.xxh3_128_digest(raw[i : i + length]) for i in range(n)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, h)), pa.array(np.full(n, key)), pa.array([d] * n, pa.int64()), pa.array(np.full(n, t)), pa.array(lo + np.arange(n)), pa.array(np.arange(n, dtype=np.int32)), pa.array(digest, pa.binary())], names=["h", "key", "doc_id", "t", "lo", "place", "string"])
@@ -272,6 +279,13 @@ def _text_rows(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "t", F.xxhash64("t", "doc_id").alias("k"), "text")
 
 
+def _mixed(h, key, t, lo, doc_id):
+    """64 bits for an excerpt's class and place, of columns or of arrays."""
+    if isinstance(h, np.ndarray):
+        return h ^ key ^ t ^ lo ^ doc_id ^ (doc_id << 24)
+    return h.bitwiseXOR(key).bitwiseXOR(t).bitwiseXOR(lo).bitwiseXOR(doc_id).bitwiseXOR(F.shiftleft(doc_id, 24))
+
+
 def _only(members: Members, at: int, inside: bool):
     """Rows whose key (a column) may be among the members, or cannot be."""
 
@@ -291,48 +305,58 @@ def removed_ranges(spark: SparkSession, docs: DataFrame, length: int = LENGTH, k
     text = _text_rows(docs)
 
     def scan(parts):
-        for part in parts:
+        for part in (x for whole in parts for x in slices(whole, 2)):
             texts = part.column(2).cast(pa.binary()).to_pylist()
             for own, lo, n, h, key in excerpt_rows(texts, length):
                 at = pa.array(own)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(lo), pa.array(n.astype(np.int32)), pa.array(h), pa.array(key)], names=["doc_id", "t", "lo", "n", "h", "key"])
+        give_back()
 
-    # most anchors occur once: they go before anything else is shuffled
+    # most anchors occur once: a bit table drops nearly all of them before they are shuffled
     found = stored(spark, text.select("doc_id", "t", "text").mapInArrow(scan, "doc_id long, t long, lo long, n int, h long, key long"), "anchors")
-    shared = found.groupBy("h").agg(F.count("*").alias("all")).where("all > 1").select(F.col("h").alias("_h"))
+    shared = stored(spark, found.groupBy("h").agg(F.count("*").alias("all")).where("all > 1").select(F.col("h").alias("_h")), "shared")
+    found = found.mapInArrow(_only(Members(spark, shared), 4, True), found.schema)
     found = stored(spark, found.join(shared, F.col("h") == F.col("_h"), "left_semi"), "anchors")
-    classes = found.groupBy("h", "key").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "t", "lo")).alias("first"), F.min("n").alias("n"))
+    classes = found.groupBy("h", "key").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "t", "lo")).alias("first"))
     per_hash = classes.groupBy("h").agg(F.count("*").alias("c")).withColumnRenamed("h", "_h")
-    classes = cut(spark, classes.join(per_hash, F.col("h") == F.col("_h")).select("h", "key", "m", "first", "n", "c"))
+    classes = stored(spark, classes.join(per_hash, F.col("h") == F.col("_h")).select("h", "key", "m", "first", "c"), "classes")
 
-    # the bytes of classes that share their anchor hash with another class
-    wanted = classes.where("c > 1").select(F.col("first.doc_id").alias("_d"), F.col("first.t").alias("_t"), F.struct("h", "key", "m", "first.lo", "n", "c").alias("x")).groupBy("_d", "_t").agg(F.collect_set("x").alias("own"))
-    wanted = cut(spark, wanted)
-    some = Members(spark, wanted.select(F.xxhash64("_t", "_d")))
-    held = text.mapInArrow(_only(some, 2, True), text.schema).join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t"))).select("doc_id", "t", F.encode("text", "utf-8").alias("raw"), "own")
+    # the bytes of classes that share their anchor hash with another class: cut out where the text is, no text is shuffled
+    reps = classes.where("c > 1").select("h", "first.doc_id", "first.t", "first.lo", "key", "m", "c")
+    held, taken = Members(spark, reps.select(F.xxhash64("t", "doc_id"))), Members(spark, reps.select(_mixed(F.col("h"), F.col("key"), F.col("t"), F.col("lo"), F.coalesce("doc_id", F.lit(0)))))
 
     def take(parts):
-        for part in parts:
-            for d, t, raw, own in zip(*(part.column(i).to_pylist() for i in range(4))):
-                cols = [[x[k] for x in own] for k in ("h", "key", "m", "lo", "c")]
-                cut_out = [raw[x["lo"] : x["lo"] + x["n"] - 1 + length] for x in own]
-                k = len(own)
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cut_out, pa.binary()), pa.array([d] * k, pa.int64()), pa.array([t] * k, pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], names=["h", "key", "m", "excerpt", "doc_id", "t", "lo", "c"])
-
-    excerpts = held.mapInArrow(take, "h long, key long, m long, excerpt binary, doc_id long, t long, lo long, c long")
-    some_hot = not classes.where(F.col("c") > hot).isEmpty()
+        for part in (x for whole in parts for x in slices(whole.filter(pa.array(held(whole.column(2).to_numpy()))), 3)):
+            texts = part.column(3).cast(pa.binary()).to_pylist()
+            ids, ts = pc.fill_null(part.column(0), 0).to_numpy(), part.column(1).to_numpy()
+            for own, lo, n, h, key in excerpt_rows(texts, length):
+                keep = np.flatnonzero(taken(_mixed(h, key, ts[own], lo, ids[own])))
+                own, lo, n, h, key = (x[keep] for x in (own, lo, n, h, key))
+                cut_out = [texts[i][a : a + k - 1 + length] for i, a, k in zip(own.tolist(), lo.tolist(), n.tolist())]
+                at = pa.array(own)
+                yield pa.RecordBatch.from_arrays([pa.array(h), part.column(0).take(at), part.column(1).take(at), pa.array(lo), pa.array(key), pa.array(cut_out, pa.binary())], names=["h", "doc_id", "t", "lo", "key", "excerpt"])
+        give_back()
+
+    excerpts = text.select("doc_id", "t", "k", "text").mapInArrow(take, "h long, doc_id long, t long, lo long, key long, excerpt binary")
+    cold, some_hot = reps.where(F.col("c") <= hot), not reps.where(F.col("c") > hot).isEmpty()
     if some_hot:
-        excerpts = cut(spark, excerpts)
-    flags = excerpts.where(F.col("c") <= hot).dropDuplicates(["h", "key"]) if some_hot else excerpts
-    flags = flags.repartition("h").sortWithinPartitions("h", "doc_id", "t", "lo").mapInArrow(_compare_sorted(length), "h long, key long, other array<int>, later array<int>")
+        excerpts = stored(spark, excerpts, "excerpts")
+    order = ["h", "doc_id", "t", "lo"]
+    rows = excerpts.select(*order, "key", F.lit(None).cast("long").alias("m"), "excerpt")
     if some_hot:
-        places = excerpts.where(F.col("c") > hot).mapInArrow(_places(length), "h long, key long, doc_id long, t long, lo long, place int, string binary")
-        order = F.struct("doc_id", "t", "lo")
-        again = places.groupBy("string").agg(F.countDistinct("h", "key", "place").alias("times"), F.min(order).alias("first")).where("times > 1").withColumnRenamed("string", "_string")
-        again = places.join(again, F.col("string") == F.col("_string")).groupBy("h", "key").agg(F.collect_set("place").alias("places"), F.collect_set(F.when(~order.eqNullSafe(F.col("first")), F.col("place"))).alias("later"))
+        rows = rows.join(reps.where(F.col("c") > hot).select(F.col("h").alias("_h")).distinct(), F.col("h") == F.col("_h"), "left_anti")
+    rows = rows.union(cold.select(*order, "key", "m", F.lit(None).cast("binary").alias("excerpt")))
+    flags = rows.repartition("h").sortWithinPartitions(*order).mapInArrow(_compare_sorted(length), "h long, key long, other array<int>, later array<int>")
+    if some_hot:
+        own = reps.where(F.col("c") > hot).select(*(F.col(x).alias(f"_{x}") for x in (*order, "key")))
+        match = (F.col("h") == F.col("_h")) & (F.col("key") == F.col("_key")) & (F.col("t") == F.col("_t")) & (F.col("lo") == F.col("_lo")) & F.col("doc_id").eqNullSafe(F.col("_doc_id"))
+        places = excerpts.join(own, match, "left_semi").dropDuplicates(["h", "key"]).mapInArrow(_places(length), "h long, key long, doc_id long, t long, lo long, place int, string binary")
+        place = F.struct("doc_id", "t", "lo")
+        again = places.groupBy("string").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1").withColumnRenamed("string", "_string")
+        again = places.join(again, F.col("string") == F.col("_string")).groupBy("h", "key").agg(F.collect_set("place").alias("places"), F.collect_set(F.when(~place.eqNullSafe(F.col("first")), F.col("place"))).alias("later"))
         flags = flags.union(again.mapInArrow(_join_places, "h long, key long, other array<int>, later array<int>"))
 
-    flags = flags.dropDuplicates(["h", "key"]).withColumnsRenamed({"h": "_h", "key": "_k"})
+    flags = stored(spark, flags, "flags").withColumnsRenamed({"h": "_h", "key": "_k"})
     classes = classes.where("m > 1 or c > 1").join(flags, (F.col("h") == F.col("_h")) & (F.col("key") == F.col("_k")), "left").select("h", "key", "m", "first", "other", "later")
     members = found.withColumnsRenamed({"h": "_h", "key": "_k"}).join(classes, (F.col("h") == F.col("_h")) & (F.col("key") == F.col("_k")))
     whole = F.array(F.lit(0), F.col("n"))
@@ -395,7 +419,7 @@ def kept_bytes(spark: SparkSession, docs: DataFrame, length: int = LENGTH, keep:
     inside, outside = _with_ranges(spark, docs, removed_ranges(spark, docs, length, keep, hot), ["doc_id", "text"])
 
     def run(parts):
-        for part in parts:
+        for part in (x for whole in parts for x in slices(whole, 1)):
             out = []
             owns = part.column(2).to_pylist() if part.num_columns > 2 else [None] * part.num_rows
             for raw, own in zip(part.column(1).cast(pa.binary()).to_pylist(), owns):
@@ -403,6 +427,7 @@ def kept_bytes(spark: SparkSession, docs: DataFrame, length: int = LENGTH, keep:
                 out.append((len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(without(raw, runs)).hexdigest()))
             n, gone, spans, digest = zip(*out) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        give_back()
 
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return inside.mapInArrow(run, kind).union(outside.mapInArrow(run, kind))
@@ -415,7 +440,7 @@ def dedup_text(spark: SparkSession, docs: DataFrame, length: int = LENGTH, keep:
     inside, outside = _with_ranges(spark, docs, removed_ranges(spark, docs, length, keep, hot), names)
 
     def run(parts):
-        for part in parts:
+        for part in (x for whole in parts for x in slices(whole, at)):
             out = part.column(at).to_pylist()
             for i, own in enumerate(part.column(len(names)).to_pylist()):
                 if own:
