@@ -30,3 +30,10 @@ def agg_distinct_chunks(spark, sf_dir):
     lines = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "")
     per_line = lines.groupBy("source", "line").agg(F.count("*").alias("n"))  # one shuffle of distinct lines; hot lines are combined before it
     return per_line.groupBy("source").agg(F.sum("n").alias("chunks"), F.count("*").alias("distinct_chunks"), (F.sum("n") - F.count("*")).alias("repeats"))
+
+
+def fill() -> None:
+    """Import every module that registers queries."""
+    from voxloom.operators import chunking, intervals, minutes, predicates, sequences, strings, vectors  # noqa: F401
+    from voxloom.sources import docx, readers  # noqa: F401
+    from voxloom.streaming import jobs  # noqa: F401
