@@ -15,6 +15,8 @@ without one suffix array over the whole corpus:
 4. Anchor hashes with more than HOT classes are compared by the counts of their places' strings instead, which no task has to
    hold together.
 
+Sides of joins that grow with the corpus are never broadcast, also where they happen to be small: the plan is one at every size.
+
 Every byte that a chosen place's LENGTH bytes cover is removed: places of later copies with keep="first", all repeated places
 with keep="none".
 
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 
 from voxloom.llm.common import Members, cut, give_back, slices, stored, table
 
-LENGTH, GRAM, HOT = 400, 32, 2048
+LENGTH, GRAM, HOT = 400, 32, 8192
 _CHUNK, _HELD, _POS = 1 << 17, 1 << 18, (1 << 20) - 1
 _BYTE = np.random.default_rng(20240229).integers(0, 2**64, 256, dtype=np.uint64)
 _MULT = (np.random.default_rng(77).integers(0, 2**63, 8, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -316,10 +318,10 @@ def removed_ranges(spark: SparkSession, docs: DataFrame, length: int = LENGTH, k
     found = stored(spark, text.select("doc_id", "t", "text").mapInArrow(scan, "doc_id long, t long, lo long, n int, h long, key long"), "anchors")
     shared = stored(spark, found.groupBy("h").agg(F.count("*").alias("all")).where("all > 1").select(F.col("h").alias("_h")), "shared")
     found = found.mapInArrow(_only(Members(spark, shared), 4, True), found.schema)
-    found = stored(spark, found.join(shared, F.col("h") == F.col("_h"), "left_semi"), "anchors")
+    found = stored(spark, found.join(shared.hint("merge"), F.col("h") == F.col("_h"), "left_semi"), "anchors")
     classes = found.groupBy("h", "key").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "t", "lo")).alias("first"))
     per_hash = classes.groupBy("h").agg(F.count("*").alias("c")).withColumnRenamed("h", "_h")
-    classes = stored(spark, classes.join(per_hash, F.col("h") == F.col("_h")).select("h", "key", "m", "first", "c"), "classes")
+    classes = stored(spark, classes.join(per_hash.hint("merge"), F.col("h") == F.col("_h")).select("h", "key", "m", "first", "c"), "classes")
 
     # the bytes of classes that share their anchor hash with another class: cut out where the text is, no text is shuffled
     reps = classes.where("c > 1").select("h", "first.doc_id", "first.t", "first.lo", "key", "m", "c")
@@ -357,8 +359,8 @@ def removed_ranges(spark: SparkSession, docs: DataFrame, length: int = LENGTH, k
         flags = flags.union(again.mapInArrow(_join_places, "h long, key long, other array<int>, later array<int>"))
 
     flags = stored(spark, flags, "flags").withColumnsRenamed({"h": "_h", "key": "_k"})
-    classes = classes.where("m > 1 or c > 1").join(flags, (F.col("h") == F.col("_h")) & (F.col("key") == F.col("_k")), "left").select("h", "key", "m", "first", "other", "later")
-    members = found.withColumnsRenamed({"h": "_h", "key": "_k"}).join(classes, (F.col("h") == F.col("_h")) & (F.col("key") == F.col("_k")))
+    classes = classes.where("m > 1 or c > 1").join(flags.hint("merge"), (F.col("h") == F.col("_h")) & (F.col("key") == F.col("_k")), "left").select("h", "key", "m", "first", "other", "later")
+    members = found.withColumnsRenamed({"h": "_h", "key": "_k"}).join(classes.hint("merge"), (F.col("h") == F.col("_h")) & (F.col("key") == F.col("_k")))
     whole = F.array(F.lit(0), F.col("n"))
     if keep == "none":
         goes = F.when(F.col("m") > 1, whole).otherwise(F.col("other"))
@@ -408,7 +410,7 @@ def _with_ranges(spark: SparkSession, docs: DataFrame, gone: DataFrame, names: l
     rows = docs.withColumn("_vx_t1", F.xxhash64(text)).withColumn("_vx_k", F.xxhash64("_vx_t1", F.col("doc_id").cast("long")))
     at = len(docs.columns) + 1
     inside, outside = (rows.mapInArrow(_only(some, at, x), rows.schema) for x in (True, False))
-    inside = inside.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_vx_d")) & (F.col("_vx_t1") == F.col("_vx_t")), "left")
+    inside = inside.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_vx_d")) & (F.col("_vx_t1") == F.col("_vx_t")), "left")
     cols = [f"`{n}`" for n in names]
     return inside.select(*cols, "_vx_own"), outside.select(*cols)
 
