@@ -28,9 +28,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import batches, table
+from voxloom.llm.common import batches, give_back, slices, table
 
 LONG, CACHE, AT_ONCE, AT_TIME = 48, 900_000, 48_000, 4 << 20
+#: Words that with_ids() keeps while it works on a partition, beside a pipeline's other stages in the same workers.
+FEW = 150_000
 
 _STEP = """
 WITH RECURSIVE s(w, pos, tok, done) AS (
@@ -95,7 +97,7 @@ class Codec:
                     a.append(x), b.append(y), r.append(rank)
         a, b, r = (np.array(x, np.int32) for x in (a, b, r))
         unsafe = np.unique(np.concatenate((a[r < a], b[r < b])))
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         self._fill("merges", {"a": a, "b": b, "rank": r, "safe": ~np.isin(r, unsafe)})
         self._fill("vocab", {"id": np.array(list(self.ranks.values()), np.int32), "piece": [k.decode("latin-1") for k in self.ranks]})
         self._forget()
@@ -142,9 +144,9 @@ class Codec:
         text = list(map(str, range(len(self.ranks))))
         self.named += [",".join([text[i] for i in x.tolist()]) for x in ids]
 
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
+    def encode(self, texts: list[str], cache: int | None = None) -> tuple[list[np.ndarray], list[str]]:
         """For each text its ids, as an array and as decimal numbers joined by commas."""
-        if len(self.named) > CACHE:
+        if len(self.named) > (CACHE if cache is None else cache):
             self._forget()
         words = [self.cut.findall(x) for x in texts]
         found = [list(map(self.memo.get, x)) for x in words]
@@ -198,13 +200,13 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(parts):
         own = codec(path, pattern)
-        for part in parts:
+        for part in (x for whole in parts for x in slices(whole, 1, AT_TIME)):
             texts = pc.fill_null(part.column(1), "").to_pylist()
-            for a, b in batches(texts, AT_TIME):
-                ids, _ = own.encode(texts[a:b])
-                at = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
-                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), lists], names=["doc_id", "ids"])
+            ids, _ = own.encode(texts)
+            at = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+            yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "ids"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -227,15 +229,14 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(parts):
         own = codec(path, pattern)
-        for part in parts:
-            texts = pc.fill_null(part.column(1), "").to_pylist()
-            for a, b in batches(texts, AT_TIME):
-                ids, named = own.encode(texts[a:b])
-                back = own.decode(ids)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).slice(a, b - a), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in named]), pa.array([hashlib.sha256(x).hexdigest() for x in back])],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+        for part in (x for whole in parts for x in slices(whole, 1, AT_TIME)):
+            ids, named = own.encode(pc.fill_null(part.column(1), "").to_pylist())
+            back = own.decode(ids)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in named]), pa.array([hashlib.sha256(x).hexdigest() for x in back])],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -248,13 +249,13 @@ def with_ids(docs: DataFrame, path: str, pattern: str, to: str = "input_ids") ->
 
     def run(parts):
         own = codec(path, pattern)
-        for part in parts:
-            texts = pc.fill_null(part.column(at), "").to_pylist()
-            for a, b in batches(texts, AT_TIME):
-                ids, _ = own.encode(texts[a:b])
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)).slice(a, b - a) for n in names), pa.array(np.diff(ends), pa.int64()), lists], names=[*names, "n_tokens", to])
+        for part in (x for whole in parts for x in slices(whole, at, AT_TIME // 2)):
+            ids, _ = own.encode(pc.fill_null(part.column(at), "").to_pylist(), FEW)
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+            yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), pa.array(np.diff(ends), pa.int64()), lists], names=[*names, "n_tokens", to])
+        own._forget()
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

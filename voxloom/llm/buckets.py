@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import cut
+from voxloom.llm.common import cut, give_back
 from voxloom.llm.components import forest
 
 BLOCK, TILE, SMALL = 4096, 512, 500_000
@@ -86,6 +86,7 @@ def bucket_links(spark: SparkSession, units: DataFrame, buckets: int, members, n
                 held = held.slice(keep)
         if held is not None and held.num_rows:
             yield from done(held)
+        give_back()
 
     met = met.repartition("t", "code", "i", "j").sortWithinPartitions("t", "code", "i", "j")
     return cut(spark, met.mapInArrow(compare_sorted, "c long, c2 long, links long, r long, r2 long"))

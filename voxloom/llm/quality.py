@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import batches, crc_mod, table
+from voxloom.llm.common import crc_mod, give_back, slices, table
 
 SAMPLE, CHUNKS = 3000, 4
 CHUNK, STRIDE, WIDTH, FILTERS = 512, 448, 6, 16
@@ -170,11 +170,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(parts):
         model, tables = sent.value, None
-        for part in parts:
+        for part in (x for whole in parts for x in slices(whole, at)):
             tables = tables or model.pairs()
             texts = [x.encode("utf-8", "surrogatepass") for x in pc.fill_null(part.column(at), "").to_pylist()]
-            found = [probabilities(model, tables, texts[a:b]) for a, b in batches(texts)]
-            yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), pa.array(np.concatenate([np.zeros(0), *found]))], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), pa.array(probabilities(model, tables, texts))], names=[*names, "score"])
+        del tables
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.llm.buckets import bucket_links
-from voxloom.llm.common import cut, table
+from voxloom.llm.common import cut, give_back, table
 from voxloom.llm.components import connected_components, forest
 
 #: Fingerprints on which the tree is fitted, at most; fingerprints in a block, about.
@@ -47,6 +47,7 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
         for part in parts:
             fps = np.fromiter((fingerprint(x.as_py(), k) for x in part.column(1)), np.uint64, part.num_rows)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
@@ -207,6 +208,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5, similarity: float
         for part in parts:
             wide = [wide_fingerprint(x.as_py(), k).tobytes() for x in part.column(3)]
             yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(wide, pa.binary())], names=["doc_id", "c", "c2", "v"])
+        give_back()
 
     prints = rows.select("doc_id", "c", "c2", "text").mapInArrow(run, "doc_id long, c long, c2 long, v binary")
     prints = cut(spark, prints)
