@@ -145,3 +145,13 @@ def duration_text(seconds: Column) -> Column:
     t = seconds.cast("long")
     parts = [(F.floor(t / 3600), "h"), (F.floor(F.pmod(t, F.lit(3600)) / 60), "min"), (F.pmod(t, F.lit(60)), "s")]
     return F.when(t > 0, F.concat_ws(" ", *(F.when(n > 0, F.concat(n.cast("string"), F.lit(" " + u))) for n, u in parts))).otherwise("")
+
+
+#: Rewrites of a word before its vowels go, in order.
+SOUNDS = [("ph", "f"), ("gh", ""), ("ck", "k"), ("q", "k"), ("x", "ks"), ("z", "s"), ("c", "k"), ("wh", "w"), ("w", ""), ("y", ""), ("h", "")]
+
+
+def phonetic_key(word: Column) -> Column:
+    """A key under which words that sound alike agree."""
+    w = reduce(lambda t, ab: F.replace(t, F.lit(ab[0]), F.lit(ab[1])), SOUNDS, F.regexp_replace(F.lower(word), "[^a-z]", ""))
+    return F.regexp_replace(F.concat(F.substring(w, 1, 1), F.regexp_replace(F.substring(w, F.lit(2), F.length(w)), "[aeiou]", "")), r"(.)\1+", "$1")
