@@ -30,7 +30,7 @@ from voxloom.llm.common import crc_mod, give_back, slices, table
 
 SAMPLE, CHUNKS = 3000, 4
 CHUNK, STRIDE, WIDTH, FILTERS = 512, 448, 6, 16
-EPOCHS, BATCH, RATE, DECAY = 6, 32, 0.01, 1e-4
+STEPS, BATCH, RATE, DECAY = 560, 32, 0.01, 1e-4
 THRESHOLD = 0.3
 
 
@@ -75,12 +75,12 @@ def logits(model: Model, model_pairs: list[np.ndarray], rows: np.ndarray) -> np.
     return out
 
 
-def fit(texts: list[bytes], labels: list[int], seed: int = 7, epochs: int = EPOCHS) -> Model:
-    """Adam on the log loss of the mean logit of each text's chunks."""
+def fit(texts: list[bytes], labels: list[int], seed: int = 7, steps: int = STEPS) -> Model:
+    """About `steps` steps of Adam on the log loss of the mean logit of each text's chunks."""
     rng = np.random.default_rng(seed)
     share = float(np.mean(labels)) if labels else 0.5
     model = Model(rng.normal(0, 0.15, (WIDTH, 256, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.3, FILTERS).astype(np.float32), 0.0)
-    if not 0 < share < 1:
+    if not texts or not 0 < share < 1:
         model.dense[:], model.offset = 0, float(np.clip(np.log(max(share, 1e-6) / max(1 - share, 1e-6)), -14, 14)) if share != 0.5 else 0.0
         return model
     model.offset = float(np.log(share / (1 - share)))
@@ -94,6 +94,7 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 7, epochs: int = EPOC
     names = ("tables", "bias", "dense")
     m1 = {k: np.zeros_like(getattr(model, k)) for k in names} | {"offset": 0.0}
     m2 = {k: np.zeros_like(getattr(model, k)) for k in names} | {"offset": 0.0}
+    epochs = -(-steps // -(-len(texts) // BATCH))
     step, total = 0, epochs * -(-len(texts) // BATCH)
     for _ in range(epochs):
         order = rng.permutation(len(texts))
