@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import io
 from collections import Counter
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import batches, crc_mod, cut, new_path, table
+from voxloom.llm.common import batches, crc_mod, cut, give_back, new_path, slices, table
 from voxloom.llm.elias_fano import EliasFano, encode
 
 OFTEN, TWICE, DISCOUNT = 16, 2, 0.5
@@ -192,26 +192,25 @@ class Vocabulary:
             begin[rows], end[rows] = p.values(i) + self.kids[k], p.values(i + 1) + self.kids[k]
         return begin, end, rest, at
 
-    def slots(self, texts: list[list[bytes]]) -> list[list[int]]:
+    def _learn(self, new: list[bytes]) -> None:
+        at, count = self.words.find(np.fromiter(map(word_hash, new), np.int64, len(new)))
+        self.slot.update(zip(new, range(len(self.id), len(self.id) + len(new))))
+        self.id, self.count = np.concatenate((self.id, at)), np.concatenate((self.count, count))
+        if self.contexts is not None:
+            self.begin, self.end, self.rest, self.at = (np.concatenate(x) for x in zip((self.begin, self.end, self.rest, self.at), self._context(at)))
+
+    def slots(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """(slots of all texts' tokens, tokens of each text)."""
         if len(self.slot) > MEMO:
             self.forget()
-        found = [list(map(self.slot.get, x)) for x in texts]
-        new = list({w for x, own in zip(texts, found) if None in own for w, i in zip(x, own) if i is None})
-        if new:
-            at, count = self.words.find(np.fromiter(map(word_hash, new), np.int64, len(new)))
-            self.slot.update(zip(new, range(len(self.id), len(self.id) + len(new))))
-            self.id, self.count = np.concatenate((self.id, at)), np.concatenate((self.count, count))
-            if self.contexts is not None:
-                self.begin, self.end, self.rest, self.at = (np.concatenate(x) for x in zip((self.begin, self.end, self.rest, self.at), self._context(at)))
-            slot = self.slot
-            found = [[slot[w] if i is None else i for w, i in zip(x, own)] if None in own else own for x, own in zip(texts, found)]
-        return found
-
-
-def _flat(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(slots of all texts, tokens of each text)."""
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    return np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum())), sizes
+        flat = list(chain.from_iterable(texts))
+        at = np.fromiter(map(self.slot.get, flat, repeat(-1)), np.int64, len(flat))
+        holes = np.flatnonzero(at < 0)
+        if len(holes):
+            words = [flat[i] for i in holes.tolist()]
+            self._learn(list(set(words)))
+            at[holes] = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+        return at, np.fromiter(map(len, texts), np.int64, len(texts))
 
 
 def _counts(parts):
@@ -221,7 +220,7 @@ def _counts(parts):
         return pa.RecordBatch.from_arrays([pa.array(np.fromiter(map(word_hash, found), np.int64, len(found))), pa.array(np.fromiter(found.values(), np.int64, len(found)))], names=["h", "n"])
 
     found: Counter = Counter()
-    for part in parts:
+    for part in (x for whole in parts for x in slices(whole, 1)):
         for held, text in zip(part.column(0).to_pylist(), pc.fill_null(part.column(1), "").to_pylist()):
             if not held:
                 found.update(tokens(text))
@@ -229,6 +228,8 @@ def _counts(parts):
                     yield out(found)
                     found = Counter()
     yield out(found)
+    found.clear()
+    give_back()
 
 
 def _pairs(make_level, often: int):
@@ -240,11 +241,10 @@ def _pairs(make_level, often: int):
 
     def run(parts):
         words, keys, size = Vocabulary(make_level()), [np.zeros(0, np.int64)], 0
-        for part in parts:
+        for part in (x for whole in parts for x in slices(whole, 1)):
             texts = [x for held, x in zip(part.column(0).to_pylist(), pc.fill_null(part.column(1), "").to_pylist()) if not held]
             for a, b in batches(texts):
-                found = words.slots([tokens(x) for x in texts[a:b]])
-                at, sizes = _flat(found)
+                at, sizes = words.slots([tokens(x) for x in texts[a:b]])
                 ids = np.where(words.count >= often, words.id, -1)[at]
                 last = np.cumsum(sizes) - 1
                 ok = (ids[:-1] >= 0) & (ids[1:] >= 0)
@@ -255,6 +255,8 @@ def _pairs(make_level, often: int):
                     yield out(keys)
                     keys, size = [np.zeros(0, np.int64)], 0
         yield out(keys)
+        words.forget()
+        give_back()
 
     return run
 
@@ -332,6 +334,17 @@ def find_bigrams(level: Level, key: np.ndarray, begin: np.ndarray, end: np.ndarr
     return out
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, a place of each, the distinct key of each place); numpy's own sorts stably for this, slower."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], back
+
+
 _MODELS: dict[str, tuple] = {}
 
 
@@ -343,11 +356,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             _MODELS.clear()
             _MODELS[model.path] = Vocabulary(model.level("words"), model.level("contexts")), model.level("bigrams")
         words, bigrams = _MODELS[model.path]
-        for part in parts:
+        for part in (x for whole in parts for x in slices(whole, 2, 3 << 20)):
             texts = pc.fill_null(part.column(2), "").to_pylist()
             out = [[], [], [], []]
-            for a, b in batches(texts, 6 << 20):
-                at, sizes = _flat(words.slots([tokens(x) for x in texts[a:b]]))
+            for a, b in batches(texts, 3 << 20):
+                at, sizes = words.slots([tokens(x) for x in texts[a:b]])
                 first = np.cumsum(sizes) - sizes
                 count, ids = words.count[at], words.id[at]
                 base = model.base(words.count)[at]
@@ -359,13 +372,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 logs[t] -= STEP * words.rest[at[t - 1]]
                 t = t[ids[t] >= 0]
                 u = at[t - 1]
-                key, one, back = np.unique((words.at[u] << model.id_bits) | ids[t], return_index=True, return_inverse=True)
+                key, one, back = _distinct((words.at[u] << model.id_bits) | ids[t])
                 code = find_bigrams(bigrams, key, words.begin[u[one]], words.end[u[one]])[back]
                 logs[t[code >= 0]] = -STEP * code[code >= 0]
                 for to, x in zip(out, (sizes, np.add.reduceat((count > 0).astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(logs, first))):
                     to.append(x)
             n, known, base, logs = (np.concatenate([np.zeros(0), *x]) for x in out)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(len(n), model.total, np.int64)), pa.array(base), pa.array(logs)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
