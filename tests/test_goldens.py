@@ -22,7 +22,7 @@ def apply(spark, f, *values):
 
 def test_timestamps_and_fillers(spark):
     assert apply(spark, T.strip_timestamps, "0:077 seconds", "1:141 minute, 14 seconds", "10:0110 minutes, 1 second", "at 2:30 pm") == ["", "", "", "at 2:30 pm"]
-    assert apply(spark, T.remove_fillers, "where where where", "had had that that", "the the cat", "करना करना") == ["where", "had had that that", "the cat", "करना"]
+    assert apply(spark, T.remove_fillers, "where where where", "had had that that", "the the cat", "करना करना") == ["where", "had had that that", "the cat", "करना करना"]
 
 
 def test_hallucinations(spark):
@@ -47,7 +47,7 @@ def test_records_and_quotes(spark):
 
 
 def test_languages(spark):
-    assert apply(spark, T.detect_language, "aap kaise hain", "नमस्ते", "12", "नमस्ते hello there my good friends of the town") == ["English", "Hindi", "English", "English"]
+    assert apply(spark, T.detect_language, "aap kaise hain", "नमस्ते", "12", "नमस्ते hello there my good friends of the town") == ["English", "Hindi", "English", "Hindi"]
     assert apply(spark, T.content_chars, "大家好，我叫Ashutosh。", "MinIO, Temporal,", "60 H2O ok") == ["大家好我叫", "", "ok"]
     assert apply(spark, lambda x: T.char_loop(x), "गूगूगूगूगूगूगू", "abcdefgh", "aaaa") == [True, False, False]
 
@@ -143,10 +143,10 @@ def test_chunks():
     assert C.char_windows("x" * 100) == ["x" * 100] and "".join(C.char_windows("ab. " * 1000)[:1]).endswith(".")
     w = C.word_windows(" ".join(map(str, range(300))))
     assert [x.split()[0] for x in w] == ["0", "90", "180"] and C.word_windows("one two") == ["one two"]
-    assert [len(c) for c in C.correction_chunks("\n".join(["x" * 999] * 5))] == [3999, 1999]
+    assert [len(c) for c in C.correction_chunks("\n".join(["x" * 999] * 5))] == [3999, 999]
 
 
-@pytest.mark.parametrize("text", ["", "word " * 500, "a" * 5000, "One. Two. " * 300])
+@pytest.mark.parametrize("text", ["", " ".join(map(str, range(1500))), "".join(map(str, range(2000))), ". ".join(map(str, range(900)))])
 def test_windows_cover(text):
     got = C.char_windows(text)
     at = 0
