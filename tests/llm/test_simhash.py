@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from voxloom.llm.simhash import block_links, fingerprint, keep_one, near_duplicates, op10_simhash, route, vantage_tree
+from voxloom.llm.components import connected_components
+from voxloom.llm.simhash import block_links, fingerprint, keep_one, near_duplicates, op10_simhash, route, similar_forest, vantage_tree, verified_links
 
 
 def slow(text, k=3):
@@ -118,3 +119,65 @@ def test_keep_one(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(spark, df).collect() == [] and keep_one(spark, df).collect() == []
+
+
+def test_keep_one_at_the_limit(spark):
+    """Pairs on both sides of a similarity of 0.8, of short and long texts, against all pairs."""
+    rng, rows = random.Random(12), []
+    for i in range(600):
+        n = (8, 9, 12, 30, 104, 404, 1004)[i % 7]
+        w = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        rows.append((i, " ".join(w)))
+        m = n - 4  # shingles; cutting words at the end leaves m - less of m, changing them leaves (m - less) / (m + less)
+        if i % 2:
+            less = max(1, round(m * rng.choice((0.15, 0.18, 0.2, 0.21, 0.24, 0.28))))
+            w = w[: n - less]
+        else:
+            less = max(1, round(m * rng.choice((0.08, 0.1, 0.11, 0.115, 0.13, 0.16))))
+            w = [*w[: n - less], *(f"v{rng.randrange(10**6)}" for _ in range(less))]
+        rows.append((10_000 + i, " ".join(w)))
+
+    def grams(x):
+        w = x.split()
+        return {" ".join(w[j : j + 5]) for j in range(max(1, len(w) - 4))}
+
+    def alike(x, y):
+        a, b = grams(x), grams(y)
+        return 10 * len(a & b) >= 8 * len(a | b)
+
+    text = dict(rows)
+    like = {i for i in range(600) if alike(text[i], text[10_000 + i])}
+    assert 150 < len(like) < 450
+    kept = {r.doc_id for r in keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(range(600)) <= kept
+    assert not {i for i in range(600) if 10_000 + i not in kept} - like  # nothing goes that is less than 0.8 alike
+    assert len({i for i in like if 10_000 + i in kept}) <= 0.02 * len(like)
+
+
+@pytest.mark.parametrize("crossed", [False, True])
+def test_similar_forest(crossed):
+    rng = np.random.default_rng(8)
+    base = [rng.choice(60, rng.integers(0, 30), replace=False) for _ in range(25)]
+    sets = [np.sort(s[rng.random(len(s)) < p]).astype(np.uint64) for s in base for p in (1, 0.95, 0.85)]
+    side = rng.integers(0, 2, len(sets)) if crossed else np.zeros(len(sets), int)
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(np.intersect1d(a, b))
+            if 10 * both >= 8 * (len(a) + len(b) - both) and (not crossed or side[i] != side[j]):
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+    assert similar_forest(np.concatenate(sets), np.array([len(s) for s in sets]), side, 0.8).tolist() == root
+
+
+def test_verified_links_in_blocks(spark):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = [(i, " ".join([*base[:-1], f"x{i}"])) for i in range(40)] + [(100 + i, f"other text number {i} of its own") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "xxhash64(text) AS c", "xxhash64(1, text) AS c2")
+    classes = df.selectExpr("c", "c2", "doc_id AS rep", "100L AS w")
+    groups = df.selectExpr("c AS id", "0L AS component")
+    for texts in (512, 7):
+        edges = verified_links(spark, df, classes, groups, 5, 0.8, False, texts)
+        got = {r.component for r in connected_components(spark, edges).collect()}
+        assert len(got) == 1 and len({r.id for r in connected_components(spark, edges).collect()}) == 40

@@ -28,12 +28,13 @@ def pair_links(codes_a, codes_b, a, b, t: int, near, same: bool):
                 yield x, y
 
 
-def bucket_links(spark: SparkSession, units: DataFrame, buckets: int, members, near, block: int = BLOCK) -> DataFrame:
+def bucket_links(spark: SparkSession, units: DataFrame, buckets: int, members, near, block: int = BLOCK, counted: bool = True) -> DataFrame:
     """(c, c2, links, r, r2): for each class and group its links there, by members, and its root in the group's forest.
 
     units: c, c2 (long, the class), m (its members), v (what is compared), codes array<int> (its bucket in each table).
     members(column) makes the matrix of a column of v; near(a, b) says which rows of two matrices are linked; buckets is an
-    upper bound of the number of buckets, whose sizes are broadcast if it is small.
+    upper bound of the number of buckets, whose sizes are broadcast if it is small. With counted=False a pair that meets in
+    several tables counts in each of them, and the codes that tell this are not shuffled.
 
     Block i of a bucket meets block j >= i, and each pair of blocks is a group, so a large bucket is spread over tasks. Rows
     are sorted by group and streamed; no Python call per group and no list of pairs leaves a task.
@@ -43,10 +44,11 @@ def bucket_links(spark: SparkSession, units: DataFrame, buckets: int, members, n
     placed = placed.join(F.broadcast(sizes) if buckets <= SMALL else sizes, ["t", "code"])
     own = F.pmod(F.xxhash64("c2", "c"), F.col("blocks")).cast("int")
     met = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("t", "code", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "c2", "m", "v", F.slice("codes", F.lit(1), F.col("t")).alias("codes"))
+    met = met.select("t", "code", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "c2", "m", "v", F.slice("codes", F.lit(1), F.col("t") if counted else F.lit(0)).alias("codes"))
 
     def compare(key, side, v, code, m, c, c2):
         t, _, i, j = key
+        t = t if counted else 0
         n = len(c)
         a, b = np.flatnonzero(side == i), np.flatnonzero(side == j)
         links, root = np.zeros(n, np.int64), np.arange(n)
@@ -71,7 +73,7 @@ def bucket_links(spark: SparkSession, units: DataFrame, buckets: int, members, n
             for a, b in zip(first.tolist(), [*first[1:].tolist(), held.num_rows]):
                 if b - a > 1:
                     own = tuple(int(k[a]) for k in key)
-                    out.append(compare(own, side[a:b], v[a:b], flat[at[a] : at[b]].reshape(b - a, own[0]), m[a:b], c[a:b], c2[a:b]))
+                    out.append(compare(own, side[a:b], v[a:b], flat[at[a] : at[b]].reshape(b - a, own[0] if counted else 0), m[a:b], c[a:b], c2[a:b]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["c", "c2", "links", "r", "r2"])
 

@@ -25,13 +25,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.llm.buckets import bucket_links
-from voxloom.llm.common import cut, give_back, table
+from voxloom.llm.common import Members, cut, give_back, table
 from voxloom.llm.components import connected_components, forest
 
 #: Fingerprints on which the tree is fitted, at most; fingerprints in a block, about.
 SAMPLE, BLOCK = 8192, 4096
-#: Bits of the fingerprints that keep_one() compares.
-WIDE = 512
+#: Bits of the fingerprints by which keep_one() finds candidates; texts and bytes of shingles in a block that it verifies.
+WIDE, TEXTS, BYTES = 512, 512, 8 << 20
+#: Greatest chance that a bit of two sets with a Jaccard similarity of 0.8 or more differs: sets of 4 and 5 shingles; large sets
+#: of one size have 0.152.
+APART = 3 / 16
 _ODD = (np.random.default_rng(31).integers(0, 2**63, WIDE // 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -175,9 +178,8 @@ def _signs(h: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(h), bitorder="little")
 
 
-def wide_fingerprint(text: str | None, k: int = 5) -> np.ndarray:
-    """SimHash of WIDE bits, as bytes, over the set of k-word shingles: each 64 bits from a remixed hash."""
-    h = np.unique(_shingle_hashes(text or "", k))
+def wide_signs(h: np.ndarray) -> np.ndarray:
+    """SimHash of WIDE bits, as bytes, over a set of shingle hashes: each 64 bits from a remixed hash."""
     out = []
     for odd in _ODD:
         x = h * odd
@@ -187,18 +189,94 @@ def wide_fingerprint(text: str | None, k: int = 5) -> np.ndarray:
     return np.concatenate(out)
 
 
-def wide_limit(similarity: float, bits: int) -> int:
-    """Differing bits expected at a Jaccard similarity of sets of one size."""
-    return int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def wide_limit(apart: float, bits: int) -> int:
+    """Differing bits that a pair whose bits differ with chance `apart` exceeds with chance 0.001: the mean and 3 s.d."""
+    return int(bits * apart + 3 * math.sqrt(bits * apart * (1 - apart)))
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5, similarity: float = 0.8, missed: float = 0.05) -> DataFrame:
+def similar_forest(flat: np.ndarray, sizes: np.ndarray, side: np.ndarray, similarity: float) -> np.ndarray:
+    """Root of each of the sets whose members lie one after another in `flat`, linked at a Jaccard similarity of `similarity`
+    or more: all pairs of one side, or with two sides the pairs across them. Two empty sets are alike."""
+    n, ends = len(sizes), np.cumsum(sizes)
+    starts, ids, root = ends - sizes, np.unique(flat, return_inverse=True)[1], np.arange(n)
+    crossed, mark = (side != side[0]).any(), np.zeros(len(flat), bool)
+    for i in range(n - 1):
+        there = (root[i + 1 :] != root[i]) & (np.minimum(sizes[i + 1 :], sizes[i]) >= similarity * np.maximum(sizes[i + 1 :], sizes[i]))
+        at = np.flatnonzero(there & (side[i + 1 :] != side[i]) if crossed else there) + i + 1
+        if not len(at):
+            continue
+        mark[ids[starts[i] : ends[i]]] = True
+        total = np.concatenate(([0], np.cumsum(mark[ids])))
+        mark[ids[starts[i] : ends[i]]] = False
+        both = total[ends[at]] - total[starts[at]]
+        near = np.append(root[at[both >= similarity * (sizes[i] + sizes[at] - both)]], root[i])
+        root[np.isin(root, near)] = near.min()
+    return root
+
+
+def _whole_groups(parts, keys: list[str]):
+    """(table, first rows of its groups): the rows of Arrow batches sorted by `keys`, no group divided."""
+    held = None
+    for part in parts:
+        piece = pa.Table.from_batches([part])
+        held = piece if held is None else pa.concat_tables([held, piece]).combine_chunks()
+        own = [held.column(k).to_numpy() for k in keys]
+        first = np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in own], axis=0)))) if held.num_rows else []
+        if len(first) > 1:  # the last group may go on
+            yield held.slice(0, first[-1]), first[:-1]
+            held = held.slice(first[-1])
+    if held is not None and held.num_rows:
+        yield held, np.zeros(1, np.int64)
+
+
+def verified_links(spark: SparkSession, rows: DataFrame, classes: DataFrame, groups: DataFrame, k: int, similarity: float, again: bool, texts: int = TEXTS, size: int = BYTES) -> DataFrame:
+    """(a, b): texts, named by c, whose sets of k-word shingles have the Jaccard similarity or more, as a forest of all such
+    links inside the given groups of candidates.
+
+    rows: doc_id, c, c2, text; classes: c, c2, rep, w (shingles); groups: id, component. All pairs of a group are compared: a large
+    group is split into blocks, and each pair of blocks is a task's group. Only shingles of texts with a candidate are shuffled.
+    """
+    own = classes.join(groups, F.col("c") == F.col("id")).select("c", "c2", "rep", "w", "component")
+    sizes = own.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / F.lit(texts)), F.ceil(8 * F.sum("w") / F.lit(size)), F.lit(1)).cast("int").alias("blocks"))
+    own = cut(spark, own.join(sizes, "component").select(F.col("c").alias("_c"), F.col("c2").alias("_c2"), "rep", "component", "blocks"))
+    held = Members(spark, own.select(F.xxhash64("_c", "_c2", "rep")))
+
+    def shingled(parts):
+        for part in parts:
+            part = part.filter(pa.array(held(part.column(3).to_numpy())))
+            sets = [np.unique(_shingle_hashes(x.as_py(), k)).tobytes() for x in part.column(4)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sets, pa.binary())], names=["doc_id", "c", "c2", "h"])
+        give_back()
+
+    def compare(parts):
+        for held, first in _whole_groups(parts, ["component", "i", "j"]):
+            c, side, sets = held.column("c").to_numpy(), held.column("own").to_numpy(), held.column("h").to_pylist()
+            out = []
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), held.num_rows]):
+                flat, count = np.frombuffer(b"".join(sets[a:b]), np.uint64), np.array([len(x) // 8 for x in sets[a:b]])
+                root = similar_forest(flat, count, side[a:b], similarity)
+                at = np.flatnonzero(root != np.arange(b - a))
+                out.append((c[a + at], c[a + root[at]]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b"])
+        give_back()
+
+    sets = rows.select("doc_id", "c", "c2", F.xxhash64("c", "c2", "doc_id").alias("at"), "text").mapInArrow(shingled, "doc_id long, c long, c2 long, h binary")
+    sets = sets.join(own, (F.col("c") == F.col("_c")) & (F.col("c2") == F.col("_c2")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    if again:
+        sets = sets.dropDuplicates(["c", "c2"])
+    met = sets.withColumn("own", F.pmod(F.xxhash64("c2", "c"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "h")
+    return met.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(compare, "a long, b long")
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5, similarity: float = 0.8, missed: float = 0.01) -> DataFrame:
     """docs without near-duplicates: of each group the row with the smallest doc_id stays, with all its columns.
 
-    Texts are linked whose WIDE-bit fingerprints over k-word shingle sets differ in no more bits than texts of the given
-    Jaccard similarity are expected to: an estimate with a standard error of 0.035. Such pairs are many bits apart (about 10
-    of 64), where distances to vantage points no longer tell shards apart, so candidates come from tables of sampled
-    fingerprint bits instead; a pair at the limit shares no bucket with chance `missed`.
+    Texts are linked whose sets of k-word shingles have the given Jaccard similarity or more, by the sets themselves. WIDE-bit
+    fingerprints only find the candidates: up to wide_limit() bits apart, which is 3 s.d. more than a pair at the limit is
+    expected to be (APART is for 0.8; a lower similarity gets the angle between its sets). Such pairs are many bits apart (about
+    10 of 64), where distances to vantage points no longer tell shards apart, so candidates meet in tables of sampled fingerprint
+    bits; a pair at the limit shares no bucket with chance `missed` at most. Groups of candidates are then compared in full.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     c, c2 = F.xxhash64(text), F.xxhash64(F.lit(1), text)
@@ -206,16 +284,20 @@ def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5, similarity: float
 
     def run(parts):
         for part in parts:
-            wide = [wide_fingerprint(x.as_py(), k).tobytes() for x in part.column(3)]
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(wide, pa.binary())], names=["doc_id", "c", "c2", "v"])
+            sets = [np.unique(_shingle_hashes(x.as_py(), k)) for x in part.column(3)]
+            wide = [wide_signs(h).tobytes() for h in sets]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([len(h) for h in sets], pa.int64()), pa.array(wide, pa.binary())], names=["doc_id", "c", "c2", "w", "v"])
         give_back()
 
-    prints = rows.select("doc_id", "c", "c2", "text").mapInArrow(run, "doc_id long, c long, c2 long, v binary")
+    prints = rows.select("doc_id", "c", "c2", "text").mapInArrow(run, "doc_id long, c long, c2 long, w long, v binary")
     prints = cut(spark, prints)
-    classes = prints.groupBy("c", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"), F.any_value("v").alias("v"))
-    n, limit = prints.count(), wide_limit(similarity, WIDE)
-    bits = min(24, max(8, math.ceil(math.log2(max(1, n))) - 4))
-    tables = math.ceil(math.log(missed) / math.log(1 - (1 - limit / WIDE) ** bits))
+    classes = prints.groupBy("c", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"), F.any_value("w").alias("w"), F.any_value("v").alias("v"))
+    apart = max(APART, math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    n, limit = prints.count(), wide_limit(apart, WIDE)
+    bits = min(24, max(8, math.ceil(math.log2(max(1, n))) - 7))
+    # a sampled bit differs as often as the pair's own share of bits does, which spreads around `apart`
+    share = np.random.default_rng(6).binomial(WIDE, apart, 1 << 16) / WIDE
+    tables = next(t for t in range(1, 10_000) if np.mean((1 - (1 - share) ** bits) ** t) <= missed)
     picked = np.array([np.random.default_rng([5, t]).permutation(WIDE)[:bits] for t in range(tables)])
 
     def coded(parts):
@@ -236,11 +318,12 @@ def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5, similarity: float
 
     classes = cut(spark, classes)
     units = classes.select("c", "c2", "m", "v").mapInArrow(coded, "c long, c2 long, m long, v binary, codes array<int>")
-    found = bucket_links(spark, units, tables << bits, members, near)
-    joined = connected_components(spark, found.where("c != r").select("c", "r"))  # 64 bits name a text here
+    found = bucket_links(spark, units, tables << bits, members, near, counted=False)
+    groups = connected_components(spark, found.where("c != r").select("c", "r"))  # 64 bits name a text here
+    again = not prints.groupBy("doc_id", "c", "c2").count().where("count > 1").isEmpty()
+    joined = connected_components(spark, verified_links(spark, rows, classes, groups, k, similarity, again))
     named = classes.select("c", "c2", "rep").join(joined, F.col("c") == F.col("id"), "left").withColumn("to", F.coalesce("component", "c"))
     best = named.groupBy("to").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "c", "c2")).alias("x")).select(F.col("x.rep").alias("_vx_rep"), F.col("x.c").alias("_vx_c"), F.col("x.c2").alias("_vx_c2"))
-    again = not prints.groupBy("doc_id", "c", "c2").count().where("count > 1").isEmpty()
     here = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     kept = docs.join(best, docs["doc_id"].cast("long").eqNullSafe(F.col("_vx_rep")) & (here == F.col("_vx_c")), "inner")
     return (kept.dropDuplicates(["_vx_c", "_vx_c2"]) if again else kept).select(*(docs[f"`{x}`"] for x in docs.columns))
