@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from voxloom.llm.suffix_dedup import SuffixOrder, dedup_text, kept_bytes, whole_characters
+from voxloom.llm.suffix_dedup import PASSAGE, WORDS, SuffixOrder, dedup_text, kept_bytes, long_passages, whole_characters
 
 L = 60
 
@@ -90,3 +90,27 @@ def test_factors():
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert kept_bytes(spark, df).collect() == [] and dedup_text(spark, df).collect() == []
+
+
+def test_passages_by_words(spark):
+    rng = random.Random(21)
+    own = lambda n: " ".join(f"{rng.randrange(10**7)}" for _ in range(n))
+    short = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyzéß") for _ in range(51)), " ".join(f"w{rng.randrange(1000)}" for _ in range(54)), " ".join(rng.choice(["né", "so", "über"]) + rng.choice("abcdefgh") for _ in range(60))]
+    stays = " ".join(f"word{rng.randrange(1000)}" for _ in range(40))  # repeated, but of 40 words and under 400 bytes
+    long = "x".join(f"{rng.randrange(10**8)}" for _ in range(50))  # one word of over 400 bytes
+    assert all(len(x.encode()) < 400 for x in [*short, stays]) and len(long) > 400
+    rows = [(i * 10 + j, f"{own(30)} {x} {own(30)}") for i, x in enumerate([*short, stays, long]) for j in range(3)]
+    rows += [(1000 + i, own(200)) for i in range(5)]
+    got = {r.doc_id: r.text for r in dedup_text(spark, spark.createDataFrame(rows, "doc_id long, text string"), PASSAGE, words=WORDS).collect()}
+    for d, text in rows:
+        x = [*short, stays, long][d // 10] if d < 1000 else None
+        a, _, b = text.partition(x) if x and x != stays and d % 10 else (text, "", "")
+        # what is cut may reach a few bytes into the neighbours, where these happen to agree too
+        assert got[d] == text if not b else x not in got[d] and got[d].startswith(a[:-4]) and got[d].endswith(b[4:]) and len(got[d]) <= len(a) + len(b)
+
+
+def test_short_repeats_that_touch_are_no_passage():
+    raw = b" ".join([b"ab"] * 90)
+    touching = [{"lo": 0, "ranges": [0, 10]}, {"lo": 110, "ranges": [0, 10]}]
+    assert long_passages(touching, raw, 101, 50) == []
+    assert long_passages([{"lo": 0, "ranges": [0, 30]}, {"lo": 30, "ranges": [0, 25]}], raw, 101, 50) == [(0, 155)]

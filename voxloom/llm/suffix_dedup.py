@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from voxloom.llm.common import Members, cut, give_back, slices, stored, table
 
 LENGTH, GRAM, HOT = 400, 32, 8192
+#: A passage of more than WORDS words has this many bytes at least.
+WORDS, PASSAGE = 50, 101
 _CHUNK, _HELD, _POS = 1 << 17, 1 << 18, (1 << 20) - 1
 _BYTE = np.random.default_rng(20240229).integers(0, 2**64, 256, dtype=np.uint64)
 _MULT = (np.random.default_rng(77).integers(0, 2**63, 8, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -381,6 +383,26 @@ def runs_of(own: list | None, size: int, length: int) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
+def long_passages(own: list | None, raw: bytes, length: int, words: int, least: int = LENGTH) -> list[tuple[int, int]]:
+    """Maximal runs [a, b) of the bytes of passages with over `words` words, parts of words included, or of `least` bytes.
+
+    A passage is what the strings of consecutive places cover, so short repeats that only touch are not taken for one.
+    """
+    places = np.zeros(len(raw) + 1, np.int32)
+    for x in own or ():
+        r = np.array(x["ranges"], np.int64) + x["lo"]
+        np.add.at(places, r[::2], 1)
+        np.add.at(places, r[1::2], -1)
+    edge = _ranges(np.cumsum(places) > 0)
+    out: list[tuple[int, int]] = []
+    for a, b in zip(edge[::2].tolist(), (edge[1::2] - 1 + length).tolist()):
+        if b - a >= least or len(raw[a:b].split()) > words:
+            if out and a <= out[-1][1]:
+                a = out.pop()[0]
+            out.append((a, b))
+    return out
+
+
 def without(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     out, at = [], 0
     for a, b in runs:
@@ -435,8 +457,11 @@ def kept_bytes(spark: SparkSession, docs: DataFrame, length: int = LENGTH, keep:
     return inside.mapInArrow(run, kind).union(outside.mapInArrow(run, kind))
 
 
-def dedup_text(spark: SparkSession, docs: DataFrame, length: int = LENGTH, keep: str = "first", hot: int = HOT) -> DataFrame:
-    """docs with repeated passages cut out of `text`; characters stay whole, and all other columns pass through."""
+def dedup_text(spark: SparkSession, docs: DataFrame, length: int = LENGTH, keep: str = "first", hot: int = HOT, words: int | None = None) -> DataFrame:
+    """docs with repeated passages cut out of `text`; characters stay whole, and all other columns pass through.
+
+    With `words`, repeats of `length` bytes only go if they belong to a passage of over so many words, or of LENGTH bytes.
+    """
     names, at = docs.columns, docs.columns.index("text")
     docs = docs.select(*(F.col(f"`{n}`").cast("string").alias(n) if n == "text" else f"`{n}`" for n in names))
     inside, outside = _with_ranges(spark, docs, removed_ranges(spark, docs, length, keep, hot), names)
@@ -447,7 +472,8 @@ def dedup_text(spark: SparkSession, docs: DataFrame, length: int = LENGTH, keep:
             for i, own in enumerate(part.column(len(names)).to_pylist()):
                 if own:
                     raw = out[i].encode()
-                    out[i] = without(raw, whole_characters(raw, runs_of(own, len(raw), length))).decode()
+                    runs = runs_of(own, len(raw), length) if words is None else long_passages(own, raw, length, words)
+                    out[i] = without(raw, whole_characters(raw, runs)).decode()
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else part.column(i) for i in range(len(names))], names=names)
 
     return inside.mapInArrow(run, docs.schema).union(outside)
