@@ -87,7 +87,7 @@ def decide(labels: list, m, support: dict | None, floor=0.86, thin=0.90, gap=0.0
     import numpy as np
 
     n = len(labels)
-    up, root = np.triu_indices(n, 1), list(range(n))
+    up, root = np.triu(np.ones((n, n), bool), 1), list(range(n))
 
     def find(i):
         while root[i] != i:
@@ -101,9 +101,10 @@ def decide(labels: list, m, support: dict | None, floor=0.86, thin=0.90, gap=0.0
         down = np.sort(cos)[::-1]
         k = int(np.argmax(down[:-1] - down[1:]))
         if down[k] - down[k + 1] >= gap and down[k] >= floor:
-            for i, j in zip(*up):
-                rest = [x for x in range(n) if x not in (i, j)]
-                if m[i, j] >= max(down[k], floor) and np.abs(m[i, rest] - m[j, rest]).max(initial=0) <= profile:
+            for i, j in np.argwhere(up & (m >= max(down[k], floor))).tolist():
+                apart = np.abs(m[i] - m[j])
+                apart[[i, j]] = 0
+                if apart.max() <= profile:
                     chosen.append((i, j))
     for i, j in chosen:
         root[find(j)] = find(i)
@@ -115,7 +116,11 @@ def decide(labels: list, m, support: dict | None, floor=0.86, thin=0.90, gap=0.0
     k = len(groups)
     if k < 3:
         return merged, []
-    near = np.array([max(m[np.ix_(groups[a], groups[b])].mean() for b in range(k) if b != a) for a in range(k)])
+    inside, sizes = np.concatenate(groups), np.array([len(g) for g in groups])
+    first = np.cumsum(sizes) - sizes
+    mean = np.add.reduceat(np.add.reduceat(m[np.ix_(inside, inside)], first, axis=0), first, axis=1) / np.outer(sizes, sizes)
+    np.fill_diagonal(mean, -np.inf)
+    near = mean.max(axis=1)
     order = np.argsort(near, kind="stable")
     steps = near[order][1:] - near[order][:-1]
     at = int(np.argmax(steps))
@@ -137,14 +142,14 @@ def decide_all_meetings(c: DataFrame, **limits) -> DataFrame:
         pdf = pdf.sort_values("cluster")
         labels, v = pdf["cluster"].tolist(), np.stack(pdf["v"].to_numpy())
         merged, drop = decide(labels, v @ v.T, dict(zip(labels, pdf["support"])) if pdf["support"].notna().all() else None, **limits)
-        to = {x: min(g) for g in merged for x in g}
-        return pd.DataFrame({"meeting": pdf["meeting"], "cluster": labels, "group": [to.get(x, x) for x in labels], "drop": [x in set(drop) for x in labels]})
+        to, drop = {x: min(g) for g in merged for x in g}, set(drop)
+        return pd.DataFrame({"meeting": pdf["meeting"], "cluster": labels, "group": [to.get(x, x) for x in labels], "drop": [x in drop for x in labels]})
 
     return c.groupBy("meeting").applyInPandas(run, "meeting int, cluster long, group long, drop boolean")
 
 
-def _small(spark, sf_dir):
-    return clusters(spark, sf_dir).where("cluster % 5 = 0").withColumn("support", F.lit(0.01))
+def _supported(spark, sf_dir):
+    return clusters(spark, sf_dir).withColumn("support", F.lit(0.01))
 
 
 _SOFT = {"floor": 0.2, "thin": 0.2, "gap": 0.0, "profile": 0.9, "drop_gap": 0.0, "ratio": 2.0}
@@ -152,12 +157,12 @@ _SOFT = {"floor": 0.2, "thin": 0.2, "gap": 0.0, "profile": 0.9, "drop_gap": 0.0,
 
 @query("decide_all")
 def decide_all(spark, sf_dir):
-    return decide_all_meetings(_small(spark, sf_dir), **_SOFT)
+    return decide_all_meetings(_supported(spark, sf_dir), **_SOFT)
 
 
 @query("decide_merges")
 def decide_merges(spark, sf_dir):
-    return decide_all_meetings(_small(spark, sf_dir), **_SOFT).where("group <> cluster").select("meeting", "cluster", "group")
+    return decide_all_meetings(_supported(spark, sf_dir), **_SOFT).where("group <> cluster").select("meeting", "cluster", "group")
 
 
 @query("decide_drops", f"""WITH {_C}, {_P}, {_N}, {_GAP.format('n')}, k AS (SELECT n.meeting, max(n.cos) FILTER (n.cos <= below) AS low, median(n.cos) FILTER (n.cos > below) AS cohort, any_value(gap) AS gap FROM n JOIN g USING (meeting) GROUP BY n.meeting)
@@ -174,7 +179,7 @@ def decide_drops(spark, sf_dir):
 @query("apply_decision")
 def apply_decision(spark, sf_dir):
     """Vectors after merging groups: unit means of what is not dropped."""
-    c = _small(spark, sf_dir)
+    c = _supported(spark, sf_dir)
     d = decide_all_meetings(c, **_SOFT)
     x = c.join(d, ["meeting", "cluster"]).where("NOT drop").select("meeting", "group", F.posexplode("v").alias("i", "x"))
     mean = x.groupBy("meeting", "group", "i").agg(F.avg("x").alias("x"))
@@ -266,6 +271,27 @@ def topk_similar(spark, sf_dir):
     return x.groupBy("cluster", "name").agg(F.max("cos").alias("cos")).select("cluster", "name", F.round("cos", 4).alias("score"), F.round(F.greatest("cos", F.lit(0.0)) * 100, 1).alias("score_pct"), (F.col("cos") >= 0.2).alias("passed"))
 
 
+def best_per_name(c: DataFrame, s: DataFrame, block: int = 2048) -> DataFrame:
+    """(meeting, cluster, name, score): each cluster's greatest cosine to a name's samples, by products of bounded blocks."""
+    import numpy as np
+
+    n, k = -(-c.count() // block) or 1, -(-s.count() // block) or 1
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    x = c.select("meeting", "cluster", "v", F.pmod(F.xxhash64("cluster"), F.lit(n)).cast("int").alias("i"), every(k).alias("j"))
+    y = s.select("name", "v", F.pmod(F.xxhash64("sample"), F.lit(k)).cast("int").alias("j"), every(n).alias("i"))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"meeting": [], "cluster": [], "name": [], "score": []})
+        b = b.sort_values("name", kind="stable")
+        names, first = np.unique(b["name"].to_numpy().astype(str), return_index=True)
+        top = np.maximum.reduceat(np.stack(a["v"].to_numpy()) @ np.stack(b["v"].to_numpy()).T, first, axis=1)
+        return pd.DataFrame({"meeting": np.repeat(a["meeting"].to_numpy(), len(names)), "cluster": np.repeat(a["cluster"].to_numpy(), len(names)), "name": np.tile(names, len(a)), "score": top.ravel()})
+
+    found = x.groupBy("i", "j").cogroup(y.groupBy("i", "j")).applyInPandas(run, "meeting int, cluster long, name string, score double")
+    return found.groupBy("meeting", "cluster", "name").agg(F.max("score").alias("score"))
+
+
 @query("join_greedy_one_to_one")
 def join_greedy_one_to_one(spark, sf_dir):
     """Best first, each cluster and each name once, inside a meeting."""
@@ -278,7 +304,7 @@ def join_greedy_one_to_one(spark, sf_dir):
                 out.append((r.meeting, r.cluster, r.name, r.score))
         return pd.DataFrame(out, columns=["meeting", "cluster", "name", "score"])
 
-    b = enrolled(spark, sf_dir).groupBy("meeting", "cluster", "name").agg(F.round(F.max("cos"), 4).alias("score"))
+    b = best_per_name(clusters(spark, sf_dir), samples(spark, sf_dir)).withColumn("score", F.round("score", 4))
     return b.groupBy("meeting").applyInPandas(run, "meeting int, cluster long, name string, score double")
 
 
