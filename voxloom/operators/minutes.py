@@ -78,7 +78,7 @@ def unsupported_names(text, low):
 
 
 def _names(spark, sf_dir):
-    l = inputs.lines(spark, sf_dir).where("pos < 3").withColumn("text", F.concat(F.lit("it was "), "line", F.when(F.col("pos") == 1, " said Sandra Zersky").otherwise("")))
+    l = inputs.lines(spark, sf_dir).withColumn("text", F.concat(F.lit("it was "), "line", F.when(F.col("pos") == 1, " said Sandra Zersky").otherwise("")))
     return l.select("doc_id", "pos", "text", unsupported_names(F.col("text"), F.lower("line")).alias("bad"))
 
 
@@ -89,7 +89,7 @@ def proper_nouns_unsupported(spark, sf_dir):
 
 @query("drop_unsupported_names", f"WITH {inputs.LINES} SELECT doc_id, pos, 'it was ' || line AS text FROM lines WHERE pos < 3 AND pos <> 1")
 def drop_unsupported_names(spark, sf_dir):
-    return _names(spark, sf_dir).where(F.size("bad") == 0).select("doc_id", "pos", "text")
+    return _names(spark, sf_dir).where("pos < 3").where(F.size("bad") == 0).select("doc_id", "pos", "text")  # the SQL's lines
 
 
 @query("join_speaker_names", "WITH p AS (SELECT conv_id, turn, 'Speaker_' || (turn % 3) AS tag, CASE turn % 4 WHEN 0 THEN 'Ann Lee' WHEN 1 THEN 'Bo' WHEN 2 THEN 'Speaker 3' ELSE 'Ann Lee' END AS name FROM conversations WHERE turn < 3 OR conv_id % 2 = 0 AND turn = 3) SELECT conv_id, tag, name FROM p WHERE NOT regexp_matches(name, '(?i)^speaker') QUALIFY count(*) OVER (PARTITION BY conv_id, lower(name)) = 1")
@@ -143,15 +143,20 @@ def alike(a: str, b: str) -> float:
 
 
 def _tokens(spark, sf_dir):
-    """(token): distinct words of twelve letters or less in the first lines of documents."""
-    return inputs.lines(spark, sf_dir).where("pos < 2").select(F.explode(F.regexp_extract_all("line", F.lit("[A-Za-z]{4,12}"), F.lit(0))).alias("token")).distinct()
+    """(token): distinct words of twelve letters or less in the lines of documents."""
+    return _tokens_of(inputs.lines(spark, sf_dir))
+
+
+def _tokens_of(lines):
+    return lines.select(F.explode(F.regexp_extract_all("line", F.lit("[A-Za-z]{4,12}"), F.lit(0))).alias("token")).distinct()
 
 
 @query("join_alias_lookup", f"WITH {inputs.LINES} SELECT DISTINCT t AS token, CASE lower(t) WHEN 'with' THEN 'WITH' WHEN 'that' THEN 'That' ELSE 'The-Re' END AS canonical FROM (SELECT unnest(regexp_extract_all(line, '[A-Za-z]{{4,12}}')) AS t FROM lines WHERE pos < 2) WHERE lower(t) IN ('with', 'that', 'there')")
 def join_alias_lookup(spark, sf_dir):
     """Tokens that are an alias of a term."""
     lexicon = spark.createDataFrame([("with", "WITH"), ("that", "That"), ("there", "The-Re")], "alias string, canonical string")  # three rows
-    return _tokens(spark, sf_dir).join(F.broadcast(lexicon), F.lower("token") == F.col("alias")).select("token", "canonical")
+    first = _tokens_of(inputs.lines(spark, sf_dir).where("pos < 2"))  # the SQL's lines
+    return first.join(F.broadcast(lexicon), F.lower("token") == F.col("alias")).select("token", "canonical")
 
 
 _TERMS = ["Thionation", "Erentha", "Kafka", "Oneration"]
@@ -188,7 +193,7 @@ def correct_terms(spark, sf_dir):
     def run(s: pd.Series) -> pd.Series:
         return s.map(fix)
 
-    return inputs.lines(spark, sf_dir).where("pos < 1").select("doc_id", "pos", run("line").alias("y"))
+    return inputs.lines(spark, sf_dir).select("doc_id", "pos", run("line").alias("y"))
 
 
 @query("learn_aliases")
@@ -205,8 +210,8 @@ def learn_aliases(spark, sf_dir):
             out.append([{"alias": u, "term": v} for u, v in pairs if v in _TERMS and len(u) >= 3 and alike(u, v) >= 0.58])
         return pd.Series(out)
 
-    l = inputs.lines(spark, sf_dir).where("pos < 1").select("doc_id", F.substring("line", 1, 120).alias("x"))
-    return l.select("doc_id", F.explode(run(F.concat("x", F.lit(" kafga ok")), F.concat("x", F.lit(" Kafka ok")))).alias("p")).select("doc_id", "p.alias", "p.term")
+    l = inputs.lines(spark, sf_dir).select("doc_id", "pos", F.col("line").alias("x"))
+    return l.select("doc_id", "pos", F.explode(run(F.concat("x", F.lit(" kafga ok")), F.concat("x", F.lit(" Kafka ok")))).alias("p")).select("doc_id", "pos", "p.alias", "p.term")
 
 
 @query("similarity")
@@ -218,19 +223,23 @@ def similarity(spark, sf_dir):
         norm = lambda s: re.sub(r"\s+", " ", re.sub(r"[^\w]", " ", s.lower())).strip()
         return pd.Series([difflib.SequenceMatcher(None, norm(x), norm(y)).ratio() for x, y in zip(a, b)])
 
-    l = inputs.lines(spark, sf_dir).where("pos < 3").withColumn("next", F.lead("line").over(W.partitionBy("doc_id").orderBy("pos"))).where("next IS NOT NULL")
-    return l.select("doc_id", "pos", F.round(run(F.substring("line", 1, 300), F.substring("next", 1, 300)), 6).alias("ratio"))
+    l = inputs.lines(spark, sf_dir).withColumn("next", F.lead("line").over(W.partitionBy("doc_id").orderBy("pos"))).where("next IS NOT NULL")
+    return l.select("doc_id", "pos", F.round(run("line", "next"), 6).alias("ratio"))
 
 
 @query("name_fuzzy_merge")
 def name_fuzzy_merge(spark, sf_dir):
     """Names of a nation's customers that resemble a first one become its longest form."""
 
+    def like(a: str, b: str) -> bool:
+        m = difflib.SequenceMatcher(None, a, b)
+        return m.real_quick_ratio() >= 0.75 and m.quick_ratio() >= 0.75 and m.ratio() >= 0.75  # the first two are upper bounds
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, done, out = sorted(pdf["c_name"].unique())[:40], set(), []
+        names, done, out = sorted(pdf["c_name"].unique()), set(), []
         for n in names:
             if n not in done:
-                own = [m for m in names if m not in done and (m == n or difflib.SequenceMatcher(None, n.lower(), m.lower()).ratio() >= 0.75)]
+                own = [m for m in names if m not in done and (m == n or like(n.lower(), m.lower()))]
                 done.update(own)
                 out += [(int(pdf["c_nationkey"].iloc[0]), m, max(own, key=len)) for m in own]
         return pd.DataFrame(out, columns=["c_nationkey", "name", "canonical"])
@@ -280,7 +289,7 @@ def unmask_column(text, spans):
 
 
 def _coded(spark, sf_dir):
-    return inputs.lines(spark, sf_dir).where("pos < 3").select("doc_id", "pos", F.concat(F.lit("run `ls -l` see https://a.b/c and my_file.py then "), "line").alias("x"))
+    return inputs.lines(spark, sf_dir).select("doc_id", "pos", F.concat(F.lit("run `ls -l` see https://a.b/c and my_file.py then "), "line").alias("x"))
 
 
 @query("mask_code")
@@ -290,7 +299,7 @@ def mask_code(spark, sf_dir):
 
 @query("unmask_code", f"WITH {inputs.LINES} SELECT doc_id, pos, 'run `ls -l` see https://a.b/c and my_file.py then ' || line AS text, 0 AS missing FROM lines WHERE pos < 3")
 def unmask_code(spark, sf_dir):
-    m = _coded(spark, sf_dir).select("doc_id", "pos", mask_column("x").alias("m"))
+    m = _coded(spark, sf_dir).where("pos < 3").select("doc_id", "pos", mask_column("x").alias("m"))
     return m.select("doc_id", "pos", unmask_column("m.masked", "m.spans").alias("u")).select("doc_id", "pos", "u.text", "u.missing")
 
 
@@ -309,7 +318,7 @@ def mask_terms(spark, sf_dir):
 
         return s.map(line)
 
-    return inputs.lines(spark, sf_dir).where("pos < 3").select("doc_id", "pos", run("line").alias("masked"))
+    return inputs.lines(spark, sf_dir).select("doc_id", "pos", run("line").alias("masked"))
 
 
 @query("unmask_terms", f"WITH {inputs.LINES} SELECT doc_id, pos, 'term ' || line || '  end' AS y FROM lines WHERE pos < 3")
@@ -356,19 +365,19 @@ def validate_translation(spark, sf_dir):
 
     k = F.col("doc_id") % 5
     hindi = F.lit("यह एक हिंदी वाक्य है")
-    l = inputs.lines(spark, sf_dir).where("pos < 1").select("doc_id", F.when(k == 0, hindi).otherwise(F.substring("line", 1, 150)).alias("source"), F.when(k == 1, "").when(k <= 2, hindi).when(k == 3, F.concat(F.substring("line", 1, 40), F.lit(" "), hindi)).otherwise(F.substring("line", 1, 150)).alias("output"))
+    l = inputs.lines(spark, sf_dir).select("doc_id", "pos", F.when(k == 0, hindi).otherwise(F.col("line")).alias("source"), F.when(k == 1, "").when(k <= 2, hindi).when(k == 3, F.concat(F.substring("line", 1, 40), F.lit(" "), hindi)).otherwise(F.col("line")).alias("output"))
     x = l.withColumn("content", T.content_chars(F.col("output")))
     done = (F.trim("output") == "") | (F.length("content") == 0)
-    quick = x.where(done).select("doc_id", F.when(F.trim("output") == "", "empty").alias("reason"))
+    quick = x.where(done).select("doc_id", "pos", F.when(F.trim("output") == "", "empty").alias("reason"))
     slow = x.where(~done).withColumns({"sim": ratio("output", "source"), "own": _share(F.col("content"), "Latin"), "foreign": _share(F.col("content"), "Devanagari"), "source_own": _share(F.concat(T.content_chars(F.col("source")), F.lit("")), "Latin")})
     echo = F.col("sim") >= _LIMITS["echo"]
     reason = F.when(echo & (F.col("source_own") < _LIMITS["conform"]), "echo").when(echo, None).when(F.col("own") < _LIMITS["conform"], "wrong_script").when(F.col("foreign") >= _LIMITS["contaminated"], "mixed_script")
-    return quick.unionByName(slow.select("doc_id", reason.alias("reason")))
+    return quick.unionByName(slow.select("doc_id", "pos", reason.alias("reason")))
 
 
 @query("conforms")
 def conforms(spark, sf_dir):
-    l = inputs.lines(spark, sf_dir).where("pos < 2").select("doc_id", "pos", T.content_chars(F.col("line")).alias("c"))
+    l = inputs.lines(spark, sf_dir).select("doc_id", "pos", T.content_chars(F.col("line")).alias("c"))
     return l.select("doc_id", "pos", F.when(F.length("c") == 0, True).otherwise((_share(F.col("c"), "Latin") >= _LIMITS["conform"]) & (_share(F.col("c"), "Devanagari") < _LIMITS["contaminated"])).alias("ok"))
 
 

@@ -185,4 +185,4 @@ def latin_terms(spark, sf_dir):
 
         return s.map(one)
 
-    return inputs.lines(spark, sf_dir).where("pos < 1").select("doc_id", run(F.regexp_replace("line", " ", ", ")).alias("terms"))
+    return inputs.lines(spark, sf_dir).select("doc_id", "pos", run(F.regexp_replace("line", " ", ", ")).alias("terms"))
