@@ -76,3 +76,18 @@ def test_plan():
 def test_query(spark):
     got = op3_embeddings(spark, "/root/testdata/sf0.001").collect()
     assert len(got) == 500 and all(r.n_links == 0 and r.kept for r in got)
+
+
+def test_links_through_null_ids(spark):
+    """Whichever class is the root of a group, its vectors without an id neither divide it nor take its name."""
+    import numpy as np
+
+    from voxloom.llm.embedding_dedup import near_vectors
+
+    rng = np.random.default_rng(17)
+    for _ in range(3):
+        base = rng.normal(size=24)
+        near = [(base + 1e-3 * rng.normal(size=24)).tolist() for _ in range(8)]
+        rows = [(None if i % 2 else 20 + i, v) for i, v in enumerate(near)]
+        got = near_vectors(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+        assert {(r.n_links, r.component_id) for r in got} == {(7, 20)} and [r.vec_id for r in got if r.kept] == [20]

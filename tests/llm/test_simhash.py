@@ -181,3 +181,14 @@ def test_verified_links_in_blocks(spark):
         edges = verified_links(spark, df, classes, groups, 5, 0.8, False, texts)
         got = {r.component for r in connected_components(spark, edges).collect()}
         assert len(got) == 1 and len({r.id for r in connected_components(spark, edges).collect()}) == 40
+
+
+def test_components_through_null_ids(spark, monkeypatch):
+    """Fingerprints 0b0, 0b11, 0b1111: the ends are four bits apart and meet only in the row without an id."""
+    made = {"a": 0, "b": 3, "c": 15, "d": 2**63 + 2**62 + 2**40}
+    rows = [(8, "a"), (None, "b"), (5, "c"), (None, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = spark.createDataFrame([(d, made[t] - 2**64 if made[t] >= 2**63 else made[t]) for d, t in rows], "doc_id long, fp long")
+    monkeypatch.setattr("voxloom.llm.simhash.fingerprints", lambda docs, k: prints)
+    got = {(r.doc_id, int(r.fingerprint, 16)): r.component_id for r in near_duplicates(spark, df).collect()}
+    assert got == {(8, 0): 5, (None, 3): 5, (5, 15): 5, (None, made["d"]): None}

@@ -87,12 +87,12 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, least: float = LEAST,
 
     found = bucket_links(spark, units.select("c", "c2", "m", "v", "codes"), tables << bits, members, lambda a, b: a @ b.T >= least, block)
     counted = found.groupBy("c", "c2").agg(F.sum("links").alias("links"))
-    names = units.select("c", "c2", "rep")
-    edges = found.where("c != r or c2 != r2").select("c", "c2", "r", "r2").distinct().join(names, ["c", "c2"]).withColumnRenamed("rep", "a")
-    edges = edges.join(names.toDF("r", "r2", "b"), ["r", "r2"]).select("a", "b")
-    component = connected_components(spark, edges)
-    known = units.select("c", "c2", "rep", "m").join(counted, ["c", "c2"], "left").join(component, F.col("rep") == F.col("id"), "left")
-    known = known.select(F.col("c").alias("_c"), F.col("c2").alias("_c2"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("_links"), F.coalesce("component", "rep").alias("_to"))
+    # classes are the nodes (64 bits name one here), so that a class without an id still links; a component is named afterwards
+    component = connected_components(spark, found.where("c != r").select("c", "r"))
+    known = units.select("c", "c2", "rep", "m").join(counted, ["c", "c2"], "left").join(component, F.col("c") == F.col("id"), "left")
+    known = cut(spark, known.withColumn("to", F.coalesce("component", "c")).drop("id", "component"))
+    known = known.join(known.groupBy("to").agg(F.min("rep").alias("least")), "to")
+    known = known.select(F.col("c").alias("_c"), F.col("c2").alias("_c2"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("_links"), F.col("least").alias("_to"))
     out = rows.select("vec_id", "c", "c2").join(known, (F.col("c") == F.col("_c")) & (F.col("c2") == F.col("_c2")), "left")
     out = out.select("vec_id", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("_to", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

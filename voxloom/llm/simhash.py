@@ -151,8 +151,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 3, reach: int
     """(doc_id, fingerprint, component_id) for each row of docs (doc_id, text)."""
     prints = cut(spark, fingerprints(docs, k))
     classes = cut(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    named = connected_components(spark, links(spark, classes, reach, block))
-    classes = classes.join(named, F.col("rep") == F.col("id"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
+    # fingerprints are the nodes, so that a class without an id still links; a component is named by its least id afterwards
+    named = connected_components(spark, links(spark, classes.select("fp", F.col("fp").alias("rep")), reach, block))
+    classes = cut(spark, classes.join(named, F.col("fp") == F.col("id"), "left").select(F.col("fp").alias("_fp"), "rep", F.coalesce("component", "fp").alias("to")))
+    least = classes.groupBy("to").agg(F.min("rep").alias("component_id"))
+    classes = classes.join(least, "to").select("_fp", "component_id")
     return prints.join(classes, F.col("fp") == F.col("_fp")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
