@@ -11,7 +11,9 @@ document is only asked for hashes under the bounds of partitions whose r it can
 short the item and however long the document, which a fixed-length MinHash signature of the document could not promise.
 Documents with a common hash are read once more, and the containment of the shingles themselves decides.
 
-The sketches are broadcast only if their counted rows are at most SKETCH_ROWS (16 bytes each); beyond it the join shuffles.
+What is small is broadcast by its counted size: sketches of at most SKETCH_ROWS rows (24 bytes each), candidate documents with
+at most so many pairs, and items with at most SHINGLES shingles in all. Then no text and no shingle of a document is shuffled;
+beyond a bound that join shuffles instead.
 
 Defined cases: null text is empty; no words: no shingle, never found; repeated items are items of their own; repeated
 documents (one doc_id) give one row for each item, the largest containment; null ids are ids; empty tables give an empty
@@ -22,12 +24,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from voxloom.llm.common import ascii_lower, table
+from voxloom.llm.common import ascii_lower, stored, table
 
 K, SHARE = 5, 0.8
-SKETCH_ROWS = 2_000_000
+SKETCH_ROWS, SHINGLES = 2_000_000, 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -57,30 +58,26 @@ def find_items(docs: DataFrame, items: DataFrame, k: int = K, share: float = SHA
 
     docs: doc_id, text; items: item_id, text.
     """
+    spark = docs.sparkSession
     item = items.select(F.col("item_id"), words(F.col("text")).alias("_w")).withColumn("_uid", F.monotonically_increasing_id())
     item = item.select("item_id", "_uid", F.array_distinct(_windows("_w", k, _joined)).alias("_s"), F.array_distinct(_windows("_w", k, _hashed)).alias("_h")).where(F.size("_s") > 0)
-    item = item.withColumn("_n", F.size("_h")).withColumn("_need", _required(F.col("_n"), share))
-    sketch = item.select("item_id", "_s", "_need", "_n", F.explode(F.slice(F.array_sort("_h"), F.lit(1), F.col("_n") - F.col("_need") + 1)).alias("_hash"))
+    item = stored(spark, item.withColumn("_n", F.size("_h")).withColumn("_need", _required(F.col("_n"), share)), "items")
+    sketch = item.select("_uid", "_need", "_n", F.explode(F.slice(F.array_sort("_h"), F.lit(1), F.col("_n") - F.col("_need") + 1)).alias("_hash"))
     sizes = sketch.groupBy(F.floor(F.log2("_n")).alias("size")).agg(F.max("_hash").alias("bound"), F.min("_need").alias("need"), F.count("*").alias("rows")).collect()  # a row for each power of two
+    shingles = item.agg(F.sum("_n")).first()[0] or 0
     doc = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    if not sizes:
-        sizes, rows = [], 0
-    else:
-        rows = sum(r.rows for r in sizes)
     hashes = doc.select("doc_id", F.xxhash64("text").alias("_t"), words(F.col("text")).alias("_w")).select("doc_id", "_t", _windows("_w", k, _hashed).alias("_h"))
     most = F.greatest(*[F.when(F.size("_h") >= r.need, F.lit(r.bound)) for r in sizes], F.lit(-(2**63)), F.lit(-(2**63)))
     asked = hashes.withColumn("_most", most).select("doc_id", "_t", F.size("_h").alias("_m"), F.explode(F.filter("_h", lambda h: h <= F.col("_most"))).alias("_hash"))
-    probe = sketch.groupBy("_hash").agg(F.min("_need").alias("_need")).select("_hash", "_need")
-    if rows <= SKETCH_ROWS:
-        probe = F.broadcast(probe)
-    near = asked.join(probe, "_hash").where("_m >= _need").select("doc_id", "_t", "_hash").distinct()
-    pairs = near.join(sketch.select("_hash", "item_id", "_s"), "_hash").select("doc_id", "_t", "item_id", "_s").distinct()
-    pairs = pairs.toDF("_d", "_dt", "item_id", "_s")
-    text = doc.withColumn("_t", F.xxhash64("text"))
-    held = pairs.select("_d", "_dt").distinct()
-    again = text.join(held, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_dt")), "left_semi")
-    again = again.dropDuplicates(["doc_id", "_t"]).select("doc_id", "_t", words(F.col("text")).alias("_w")).select("doc_id", "_t", _windows("_w", k, _joined).alias("_ds"))
-    both = again.join(pairs, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_dt")))
+    probe = sketch.select("_hash", "_uid", "_need")
+    probe = F.broadcast(probe) if sum(r.rows for r in sizes) <= SKETCH_ROWS else probe
+    pairs = stored(spark, asked.join(probe, "_hash").where("_m >= _need").select("doc_id", "_t", "_uid").distinct(), "candidates")
+    asks = pairs.groupBy("doc_id", "_t").agg(F.collect_list("_uid").alias("_uids")).toDF("_d", "_dt", "_uids")
+    asks = F.broadcast(asks) if pairs.count() <= SKETCH_ROWS else asks
+    again = doc.withColumn("_t", F.xxhash64("text")).join(asks, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_dt")))
+    again = again.select("doc_id", "_uids", words(F.col("text")).alias("_w")).select("doc_id", "_uids", _windows("_w", k, _joined).alias("_ds")).select("doc_id", "_ds", F.explode("_uids").alias("_uid"))
+    wanted = item.select("_uid", "item_id", "_s")
+    both = again.join(F.broadcast(wanted) if shingles <= SHINGLES else wanted, "_uid")
     both = both.select("doc_id", "item_id", F.size("_s").cast("long").alias("n_shingles"), F.size(F.array_intersect("_s", "_ds")).cast("long").alias("n_found"))
     found = both.where(F.col("n_found") >= _required(F.col("n_shingles"), share)).groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("n_found") / F.col("n_shingles"), "n_shingles", "n_found")).alias("x"))
     return found.select("doc_id", "item_id", "x.n_shingles", "x.n_found", (F.col("x.n_found") / F.col("x.n_shingles")).alias("containment"))
