@@ -158,14 +158,22 @@ def test_windows_cover(text):
 
 
 def test_code_spans():
-    text, spans = M.mask("curl `x` at localhost:8001/health with API_KEY and friends and/or AGENDA")
-    assert M.unmask(text, spans) == ("curl `x` at localhost:8001/health with API_KEY and friends and/or AGENDA", 0)
-    assert spans == ["`x`", "localhost:8001/health", "API_KEY"]
+    assert M.mask("curl -s localhost:8001/health") == ("⟦0⟧", ["curl -s localhost:8001/health"])  # a whole command line
+    masked, spans = M.mask("note\n  git status   # what changed\nend")
+    assert masked == "note\n⟦0⟧   # what changed\nend" and spans == ["  git status"]
+    text = "see `x` at localhost:8001/health with API_KEY and friends and/or AGENDA, \"Quadrant\" \"two words\" 🚀 in core/a_b.rs"
+    masked, spans = M.mask(text)
+    assert M.unmask(masked, spans) == (text, 0)
+    assert spans == ["`x`", "localhost:8001/health", "core/a_b.rs", "API_KEY", '"Quadrant"', "🚀"]
+    assert M.unmask("〖0〗 ⟦ 1 〗", ["a", "b"]) == ("a b", 0)
     assert M.unmask("⟦ १ ⟧ ⟦7⟧", ["a", "b"]) == ("b ⟦7⟧", 1)
 
 
-def test_phonetics():
-    assert M.phonetic("Kafka") == M.phonetic("cafca") and M.phonetic("") == "" and M.alike("kafga", "Kafka") > 0.58
+def test_phonetics(spark):
+    words = ["Kafka", "cafca", "", "kafga", "Schwyz"]
+    keys = {r.w: r.k for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", T.phonetic_key(F.col("w")).alias("k")).collect()}
+    assert keys["Kafka"] == keys["cafca"] and keys[""] == "" and M.term_keys(spark, ["Kafka"]) == {"Kafka": keys["Kafka"]}
+    assert M.alike("kafga", "Kafka", keys["kafga"], keys["Kafka"]) > 0.58
 
 
 def test_sources(spark, tmp_path):
@@ -184,3 +192,24 @@ def test_jobs(spark):
     got = R.parse_job(spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i int, raw string"), "raw").orderBy("i").collect()
     assert [r.bad for r in got] == [False, False, True, True, True]
     assert got[0].tenant_id == "t" and got[0].file_urls == ["x"] and got[0].document_ids == ["d"] and got[1].file_urls == ["p"]
+
+
+def test_dates(spark):
+    ways = ["2026-09-11", "11-09-2026", "11/9/2026", "11.09.2026", "11 September 2026", "11 Sep 2026", "11 September, 2026", "September 11, 2026", "Sep 11, 2026", "september 11 2026", "SEP 11 2026", "11 Sep 26", "11-Sep-2026", "11-Sep-26"]
+    ways += ["Friday, 11th September 2026", "fri 11 Sep 2026", "  2026-09-11T10:00 ", "Sept 11", "31/31/2026", "30 February 2026", "", None]
+    got = spark.createDataFrame([(i, w) for i, w in enumerate(ways)], "i int, w string").select("i", T.parse_date(F.col("w")).alias("d")).orderBy("i").collect()
+    assert [r.d for r in got] == ["11 Sep 26"] * 17 + [""] * 5
+
+
+def test_loops_are_counted_in_linear_time(spark):
+    """A line of 20,000 words, a line that is nine tenths one word, and a text that is degenerate."""
+    import time
+
+    long = " ".join(f"word{i % 6000}" for i in range(20_000))
+    loop = " ".join(["again", "again", "again", "again", "and"] * 4)
+    rows = spark.createDataFrame([(1, 0, long), (1, 1, loop), (1, 2, "it is good to be here today")], "k int, pos int, t string")
+    began = time.time()
+    got = {r.pos: r.t for r in S.clean_segments(rows, "k", "pos", "t").collect()}
+    assert got[0].split() == long.split() and 2 in got and got.get(1) != loop and time.time() - began < 60
+    counts = spark.createDataFrame([(["a", "b", "a"],), ([],), ([None, None, "x"],)], "x array<string>").select(T.most_frequent(F.col("x")).alias("n")).collect()
+    assert [r.n for r in counts] == [2, 0, 2]

@@ -70,15 +70,26 @@ def test_best_per_name(spark, block):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
 
 
+@pytest.mark.parametrize("block", [2048, 16])
+def test_nearest_in_blocks(spark, block):
+    c, s = V.clusters(spark, D).where("cluster % 20 = 0"), V.samples(spark, D)
+    own = s.collect()
+    for x in c.collect():
+        order = sorted(((-float(np.dot(x.v, y.v)), y.sample) for y in own))
+        got = V.nearest(c.where(F.col("cluster") == x.cluster), s, 5, block).collect()
+        assert sorted(r.sample for r in got) == sorted(i for _, i in order[:5])
+        break
+    assert V.nearest(c, s, None, block).count() == c.count() * s.count()
+
+
 def test_greedy_sees_every_cluster(spark):
     got = V.join_greedy_one_to_one(spark, D).collect()
     e = inputs.load(spark, D, "embeddings").select(F.col("label"), "vec_id", F.col("embedding").cast("array<double>").alias("v")).collect()
     best = {}
     for x in e:
         for y in e:
-            if y.vec_id % 10 == 3:
-                key = x.label, x.vec_id, f"name{y.vec_id % 7}"
-                best[key] = max(best.get(key, -2), float(np.dot(x.v, y.v)))
+            key = x.label, x.vec_id, f"name{y.vec_id % 7}"
+            best[key] = max(best.get(key, -2), float(np.dot(x.v, y.v)))
     done, want = set(), set()
     for (m, c, n), score in sorted(best.items(), key=lambda i: (-round(i[1], 4), i[0][1], i[0][2])):
         if round(score, 4) >= 0.1 and (m, "c", c) not in done and (m, "n", n) not in done:

@@ -141,6 +141,47 @@ def content_chars(text: Column) -> Column:
     return F.regexp_replace(text, r"[^\p{L}]", "")
 
 
+def most_frequent(items: Column) -> Column:
+    """How often the most frequent item of an array of strings occurs, 0 in an empty one: one pass over the sorted items."""
+
+    def step(acc: Column, x: Column) -> Column:
+        run = F.when(acc.getField("x").eqNullSafe(x), acc.getField("run") + 1).otherwise(1)
+        return F.struct(x.alias("x"), run.alias("run"), F.greatest(acc.getField("best"), run).alias("best"))
+
+    start = F.struct(F.lit(None).cast("string").alias("x"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+    return F.aggregate(F.array_sort(items), start, step, lambda acc: acc.getField("best"))
+
+
+#: How dates are written, in the order they are tried.
+DATES = [
+    (r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}", "yyyy-M-d"), (r"[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}", "d-M-yyyy"), (r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}", "d/M/yyyy"), (r"[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}", "d.M.yyyy"),
+    (r"[0-9]{1,2} [A-Za-z]+ [0-9]{4}", "d MMMM yyyy"), (r"[0-9]{1,2} [A-Za-z]{3} [0-9]{4}", "d MMM yyyy"), (r"[0-9]{1,2} [A-Za-z]+, [0-9]{4}", "d MMMM, yyyy"), (r"[A-Za-z]+ [0-9]{1,2}, [0-9]{4}", "MMMM d, yyyy"),
+    (r"[A-Za-z]{3} [0-9]{1,2}, [0-9]{4}", "MMM d, yyyy"), (r"[A-Za-z]+ [0-9]{1,2} [0-9]{4}", "MMMM d yyyy"), (r"[A-Za-z]{3} [0-9]{1,2} [0-9]{4}", "MMM d yyyy"), (r"[0-9]{1,2} [A-Za-z]{3} [0-9]{2}", "d MMM yy"),
+    (r"[0-9]{1,2}-[A-Za-z]{3}-[0-9]{4}", "d-MMM-yyyy"), (r"[0-9]{1,2}-[A-Za-z]{3}-[0-9]{2}", "d-MMM-yy"),
+]
+
+
+def parse_date(text: Column) -> Column:
+    """A date in any of the usual ways as `dd Mon yy`, '' if none fits. A weekday in front and ordinal endings do not count, and
+    an ISO date may be followed by anything."""
+    t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
+    t = F.regexp_replace(t, r"(?i)^(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?,? +", "")
+    t = F.regexp_replace(t, r"([0-9])(?:st|nd|rd|th)\b", "$1")
+
+    def parsed(x: Column) -> Column:
+        iso = F.try_to_timestamp(F.nullif(F.regexp_extract(x, r"^[0-9]{4}-[0-9]{2}-[0-9]{2}", 0), F.lit("")), F.lit("yyyy-MM-dd"))
+        return F.coalesce(iso, *(F.when(x.rlike(f"^{shape}$"), F.try_to_timestamp(x, F.lit(form))) for shape, form in DATES))
+
+    # a function of one item, so that the text is made once and not once for each pattern
+    return F.coalesce(F.date_format(F.get(F.transform(F.array(t), parsed), F.lit(0)), "dd MMM yy"), F.lit(""))
+
+
+def capped(text: Column, most: int = 400) -> Column:
+    """White space collapsed; a text over `most` characters is cut at a word and ends with an ellipsis."""
+    t = one_space(F.coalesce(text, F.lit("")))
+    return F.when(F.length(t) > most, F.concat(F.regexp_replace(F.substring(t, 1, most - 1), r" [^ ]*$", ""), F.lit("…"))).otherwise(t)
+
+
 def duration_text(seconds: Column) -> Column:
     t = seconds.cast("long")
     parts = [(F.floor(t / 3600), "h"), (F.floor(F.pmod(t, F.lit(3600)) / 60), "min"), (F.pmod(t, F.lit(60)), "s")]

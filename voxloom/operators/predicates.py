@@ -40,9 +40,9 @@ def filter_segments(spark, sf_dir):
 def is_degenerate(spark, sf_dir):
     t = F.trim("text")
     run = F.coalesce(F.array_max(F.transform(F.regexp_extract_all(t, F.lit(r"((.)\2+)"), F.lit(1)), F.length)), F.lit(0))
-    dense = F.regexp_replace(t, r"(?U)\s", "")
-    top = F.array_max(F.transform(F.array_distinct(F.split(dense, "")), lambda c: F.length(dense) - F.length(F.replace(dense, c, F.lit("")))))
-    rows = inputs.load(spark, sf_dir, "documents").select("doc_id", F.length(t).alias("n"), run.alias("run"), (top / F.length(dense)).alias("share"))
+    dense = F.split(F.regexp_replace(t, r"(?U)\s", ""), "")
+    top = F.when(F.size(dense) > 0, T.most_frequent(dense) / F.size(dense))
+    rows = inputs.load(spark, sf_dir, "documents").select("doc_id", F.length(t).alias("n"), run.alias("run"), top.alias("share"))
     return rows.where((F.col("n") >= 80) & ((F.col("run") > 40) | (F.col("share") > 0.30))).select("doc_id", "run", F.round("share", 6).alias("share"))
 
 
@@ -123,15 +123,15 @@ scalar("time_parse", "SELECT doc_id, pos, CASE pos % 4 WHEN 0 THEN (pos % 12 + 1
        "CASE WHEN regexp_matches(x, '(?i)^\\s*[0-9]{1,2}:[0-9]{2}\\s*[ap]m\\s*$') THEN lpad(CAST(CAST(regexp_extract(x, '([0-9]{1,2}):', 1) AS INT) % 12 + CASE WHEN regexp_matches(x, '(?i)pm') THEN 12 ELSE 0 END AS VARCHAR), 2, '0') || regexp_extract(x, ':([0-9]{2})', 1) || ' Hr' WHEN regexp_matches(x, '^\\s*(?:[01]?[0-9]|2[0-3]):[0-5][0-9]\\s*$') THEN lpad(regexp_extract(x, '([0-9]{1,2}):', 1), 2, '0') || regexp_extract(x, ':([0-9]{2})', 1) || ' Hr' WHEN regexp_matches(x, '(?i)^\\s*(?:[01][0-9]|2[0-3])[0-5][0-9]\\s*(?:hrs?)?\\s*$') THEN regexp_extract(x, '([0-9]{4})', 1) || ' Hr' ELSE '' END")
 
 
-@query("date_parse", "SELECT o_orderkey, strftime(o_orderdate, '%d %b %y') AS y FROM orders")
+_STYLES = ["yyyy-MM-dd", "d-M-yyyy", "dd/MM/yyyy", "d.M.yyyy", "d MMMM yyyy", "d MMM yyyy", "dd MMMM, yyyy", "MMMM d, yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMM d yyyy", "d MMM yy", "dd-MMM-yyyy", "d-MMM-yy", "EEEE, d'th' MMMM yyyy", "yyyy-MM-dd'T'HH:mm", "'on' d MMMM"]
+
+
+@query("date_parse", "SELECT o_orderkey, CASE WHEN o_orderkey % 17 = 16 THEN '' ELSE strftime(o_orderdate, '%d %b %y') END AS y FROM orders")
 def date_parse(spark, sf_dir):
-    """Dates written in four ways come back as `dd Mon yy`; the first pattern that fits decides."""
-    o = inputs.load(spark, sf_dir, "orders")
-    style = F.col("o_orderkey") % 4
-    text = F.when(style == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(style == 1, F.date_format("o_orderdate", "d MMMM yyyy")).when(style == 2, F.date_format("o_orderdate", "MMM d, yyyy")).otherwise(F.date_format("o_orderdate", "dd/MM/yyyy"))
-    fits = [(r"^[0-9]{4}-", "yyyy-MM-dd"), (r"^[0-9]+ [A-Za-z]{4,} ", "d MMMM yyyy"), (r"^[0-9]+ May ", "d MMMM yyyy"), (r"^[A-Za-z]+ [0-9]+,", "MMM d, yyyy"), (r"^[0-9]+/", "dd/MM/yyyy")]
-    parsed = F.coalesce(*(F.when(F.col("t").rlike(p), F.try_to_timestamp("t", F.lit(f))) for p, f in fits))
-    return o.select("o_orderkey", text.alias("t")).select("o_orderkey", F.coalesce(F.date_format(parsed, "dd MMM yy"), F.lit("")).alias("y"))
+    """Dates written in all ways, with weekday, ordinal and time, come back as `dd Mon yy`; what is none is empty."""
+    at = F.col("o_orderkey") % len(_STYLES)
+    text = F.coalesce(*(F.when(at == i, F.date_format("o_orderdate", style)) for i, style in enumerate(_STYLES)))
+    return inputs.load(spark, sf_dir, "orders").select("o_orderkey", T.parse_date(text).alias("y"))
 
 
 @query("gap_retry_rule", "SELECT event_id, value, value > greatest(45, 0.02 * 1800) AS retry FROM events")

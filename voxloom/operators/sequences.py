@@ -167,14 +167,22 @@ def win_repeated_figures(spark, sf_dir):
 _T = _TERMS.replace("(x)", "(line)").replace("lower(x)", "lower(line)")
 
 
-@query("win_restatement", f"""WITH {inputs.LINES}, p AS (SELECT doc_id, pos, {_T} AS terms FROM lines WHERE pos < 12)
+@query("win_restatement", f"""WITH {inputs.LINES}, p AS (SELECT doc_id, pos, {_T} AS terms FROM lines)
     SELECT DISTINCT a.doc_id, a.pos FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.pos < a.pos WHERE len(a.terms) > 0 AND len(b.terms) > 0 AND len(list_intersect(a.terms, b.terms)) >= greatest(3, ceil(0.85 * greatest(len(a.terms), len(b.terms))))""")
 def win_restatement(spark, sf_dir):
-    """Points that an earlier one of the document restates."""
-    p = inputs.lines(spark, sf_dir).where("pos < 12").select("doc_id", "pos", T.task_terms(F.col("line")).alias("terms")).where(F.size("terms") > 0)
-    b = p.select("doc_id", F.col("pos").alias("b"), F.col("terms").alias("other"))
+    """Points that an earlier one of the document restates.
+
+    Two sets that share 85 % of the larger one share one of the few first terms of each, in one order of all terms: lines meet
+    by such a term, not in all pairs of a document.
+    """
+    p = inputs.lines(spark, sf_dir).select("doc_id", "pos", T.task_terms(F.col("line")).alias("terms")).where(F.size("terms") > 0)
+    order = F.array_sort(F.transform("terms", lambda t: F.struct(F.xxhash64(t).alias("h"), t.alias("t"))))
+    first = F.slice(order, F.lit(1), (F.size("terms") - F.ceil(F.size("terms") * F.lit(0.85)) + 1).cast("int"))
+    p = p.select("doc_id", "pos", "terms", F.explode(F.transform(first, lambda x: x.getField("t"))).alias("key"))
+    b = p.select("doc_id", "key", F.col("pos").alias("b"), F.col("terms").alias("other"))
     n = F.size(F.array_intersect("terms", "other"))
-    return p.join(b, "doc_id").where((F.col("b") < F.col("pos")) & (n >= F.greatest(F.lit(3), F.ceil(F.greatest(F.size("terms"), F.size("other")) * F.lit(0.85))))).select("doc_id", "pos").distinct()
+    met = p.join(b, ["doc_id", "key"]).where("b < pos")
+    return met.where(n >= F.greatest(F.lit(3), F.ceil(F.greatest(F.size("terms"), F.size("other")) * F.lit(0.85)))).select("doc_id", "pos").distinct()
 
 
 @query("win_merge_passes", f"WITH {inputs.LINES}, u AS (SELECT doc_id, 0 AS pass, pos, line FROM lines WHERE pos % 2 = 0 UNION ALL SELECT doc_id, 1, pos, line FROM lines WHERE pos % 3 = 0), k AS (SELECT *, trim(regexp_replace(lower(line), '[^a-z0-9 ]+', '', 'g')) AS key FROM u) SELECT doc_id, pass, pos FROM k WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY pass, pos) = 1")
@@ -287,6 +295,11 @@ def salvage(text: str) -> str | None:
     return text
 
 
+def unless_looping(text: str | None) -> str:
+    """The segment, or nothing if one word still has 70 % of it."""
+    return "" if not text or _loops(text.split())[0] else text
+
+
 def clean_segments(rows: DataFrame, key: str, pos: str, text: str) -> DataFrame:
     """(key, pos, text) of segments that are no hallucinations. Gates on columns run first, so that the Python step only sees
     what they leave; a closing remark at the end of a key goes if anything else is left."""
@@ -296,10 +309,8 @@ def clean_segments(rows: DataFrame, key: str, pos: str, text: str) -> DataFrame:
     first = F.regexp_replace(F.lower(F.get(w, F.lit(0))), "[.,!?।]+$", "")
     bad = ((F.size(w) <= 2) & F.exists(w, lambda x: F.lower(x).isin(SIGN_OFF))) | first.isin(SIGN_OFF) | ((F.size(long) > 0) & (F.size(F.filter(long, T.char_loop)) >= 0.5 * F.size(long)))
     x = rows.where((t != "") & ~F.coalesce(bad, F.lit(False))).select(key, pos, t.alias("t"))
-    x = x.withColumn("t", T.remove_hallucinations(_udf(salvage)("t"))).where("t <> ''")
-    again = T.words(F.lower(F.col("t")))
-    most = F.array_max(F.transform(F.array_distinct(again), lambda v: F.size(F.filter(again, lambda y: y == v))))
-    x = x.where(~((F.size(again) >= 5) & (most >= 0.70 * F.size(again))))
+    # the second Python step takes the cleaned text as its argument, so that the patterns run once
+    x = x.withColumn("t", _udf(salvage)("t")).withColumn("t", _udf(unless_looping)(T.remove_hallucinations(F.col("t")))).where("t <> ''")
     own = W.partitionBy(key)
     x = x.withColumn("last", F.max(pos).over(own) == F.col(pos)).withColumn("n", F.count("*").over(own))
     return x.where(~(F.col("last") & (F.col("n") > 1) & F.lower(F.trim("t")).isin(CLOSINGS))).select(key, pos, F.col("t").alias(text))

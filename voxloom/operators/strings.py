@@ -63,7 +63,7 @@ scalar("ack_description", _PLAIN, lambda x: F.when(F.length(T.one_space(x)) > 40
        "CASE WHEN length(trim(regexp_replace(x, '\\s+', ' ', 'g'))) > 400 THEN regexp_replace(left(trim(regexp_replace(x, '\\s+', ' ', 'g')), 400), '\\s\\S*$', '') || '…' ELSE trim(regexp_replace(x, '\\s+', ' ', 'g')) END")
 _SOUND = reduce(lambda t, ab: f"replace({t}, '{ab[0]}', '{ab[1]}')", T.SOUNDS, "regexp_replace(lower(x), '[^a-z]', '', 'g')")
 _SQUEEZED = reduce(lambda t, c: f"regexp_replace({t}, '{c}+', '{c}', 'g')", "abcdefghijklmnopqrstuvwxyz", "left(w, 1) || regexp_replace(substring(w, 2), '[aeiou]', '', 'g')")
-scalar("phonetic_key", "SELECT doc_id, pos, substring(line, 1, 60) AS x FROM lines", T.phonetic_key, f"(SELECT {_SQUEEZED} FROM (SELECT {_SOUND} AS w))")
+scalar("phonetic_key", _PLAIN, T.phonetic_key, f"(SELECT {_SQUEEZED} FROM (SELECT {_SOUND} AS w))")
 scalar("clean_mom_output", "SELECT doc_id, pos, 'Here is the MoM: ' || line || '\n- point ' || pos || '\n+ more\n•  \n\n\n\n\nend' AS x FROM lines",
        lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"(?im)^here\s+is\s+the\s+(?:synthesized\s+)?(?:minutes|mom)", ""), r"(?m)^[ \t]*\+\s+", "  • "), r"(?m)^[ \t]*-\s+([^S])", "  • $1"), "\n[ \t]*•[ \t]*\n", "\n"), "\n{4,}", "\n\n\n")),
        "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '(?im)^here\\s+is\\s+the\\s+(?:synthesized\\s+)?(?:minutes|mom)', '', 'g'), '(?m)^[ \\t]*\\+\\s+', '  • ', 'g'), '(?m)^[ \\t]*-\\s+([^S])', '  • \\1', 'g'), '\\n[ \\t]*•[ \\t]*\\n', chr(10), 'g'), '\\n{4,}', chr(10) || chr(10) || chr(10), 'g'))")

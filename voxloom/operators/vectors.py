@@ -30,12 +30,12 @@ def pairwise(c: DataFrame) -> DataFrame:
 _C = "c AS (SELECT label AS meeting, vec_id AS cluster, embedding::DOUBLE[] AS v FROM embeddings)"
 _P = "p AS (SELECT x.meeting, x.cluster AS a, y.cluster AS b, list_dot_product(x.v, y.v) AS cos FROM c x JOIN c y ON x.meeting = y.meeting AND x.cluster < y.cluster)"
 _N = "n AS (SELECT meeting, cluster, max(cos) AS cos FROM (SELECT meeting, a AS cluster, cos FROM p UNION ALL SELECT meeting, b, cos FROM p) GROUP BY meeting, cluster)"
-_SAMPLES = "e AS (SELECT vec_id AS sample, 'name' || (vec_id % 7) AS name, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 10 = 3)"
+_SAMPLES = "e AS (SELECT vec_id AS sample, 'name' || (vec_id % 7) AS name, embedding::DOUBLE[] AS v FROM embeddings)"
 
 
 def samples(spark, sf_dir) -> DataFrame:
-    """(sample, name, v): every tenth vector plays an enrolled voice."""
-    e = inputs.load(spark, sf_dir, "embeddings").where("vec_id % 10 = 3")
+    """(sample, name, v): every vector plays an enrolled voice."""
+    e = inputs.load(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("sample"), F.concat(F.lit("name"), (F.col("vec_id") % 7).cast("string")).alias("name"), F.col("embedding").cast("array<double>").alias("v"))
 
 
@@ -237,61 +237,86 @@ def agg_cluster_mean(spark, sf_dir):
     return x.withColumn("n", F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy("label")))).select("label", "i", F.round(F.col("x") / F.col("n"), 5).alias("x"))
 
 
-def enrolled(spark, sf_dir) -> DataFrame:
-    """(meeting, cluster, name, sample, cos): clusters against enrolled samples, a table of bounded size (40 here)."""
-    c = clusters(spark, sf_dir).where("cluster % 10 = 1").withColumn("all", F.lit(1))
-    s = samples(spark, sf_dir).where("sample < 400").withColumn("all", F.lit(1))
-    return c.join(F.broadcast(s.withColumnRenamed("v", "w")), "all").select("meeting", "cluster", "name", "sample", dot(F.col("v"), F.col("w")).alias("cos"))
+def block_products(c: DataFrame, s: DataFrame, pick, schema: str, block: int = 2048) -> DataFrame:
+    """pick(clusters, samples, cosines) over every block of clusters and every block of samples: matrix products of bounded
+    size, so neither side is broadcast."""
+    import numpy as np
+
+    n, k = -(-c.count() // block) or 1, -(-s.count() // block) or 1
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    x = c.select("meeting", "cluster", "v", F.pmod(F.xxhash64("cluster"), F.lit(n)).cast("int").alias("i"), every(k).alias("j"))
+    y = s.select("sample", "name", "v", F.pmod(F.xxhash64("sample"), F.lit(k)).cast("int").alias("j"), every(n).alias("i"))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({f.split()[0]: [] for f in schema.split(", ")})
+        b = b.sort_values(["name", "sample"], kind="stable")
+        return pick(a, b, np.stack(a["v"].to_numpy()) @ np.stack(b["v"].to_numpy()).T)
+
+    return x.groupBy("i", "j").cogroup(y.groupBy("i", "j")).applyInPandas(run, schema)
+
+
+def asked(spark, sf_dir) -> DataFrame:
+    """The stated query set of the searches: clusters whose id is divisible by 100. They meet all samples."""
+    return clusters(spark, sf_dir).where("cluster % 100 = 0")
+
+
+def nearest(c: DataFrame, s: DataFrame, most: int | None = None, block: int = 2048) -> DataFrame:
+    """(cluster, name, sample, cos): all samples of each cluster, or the `most` nearest (the least sample first among equals)."""
+    import numpy as np
+
+    def pick(a: pd.DataFrame, b: pd.DataFrame, cos) -> pd.DataFrame:
+        sample = b["sample"].to_numpy()
+        at = np.tile(np.arange(len(b)), (len(a), 1)) if most is None else np.lexsort((np.tile(sample, (len(a), 1)), -cos), axis=1)[:, :most]
+        names = b["name"].to_numpy()
+        return pd.DataFrame({"cluster": np.repeat(a["cluster"].to_numpy(), at.shape[1]), "name": names[at.ravel()], "sample": sample[at.ravel()], "cos": np.take_along_axis(cos, at, 1).ravel()})
+
+    found = block_products(c, s, pick, "cluster long, name string, sample long, cos double", block)
+    if most is None:
+        return found
+    return found.withColumn("r", F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("cos"), "sample"))).where(F.col("r") <= most).drop("r")
+
+
+def best_per_name(c: DataFrame, s: DataFrame, block: int = 2048) -> DataFrame:
+    """(meeting, cluster, name, score): each cluster's greatest cosine to a name's samples."""
+    import numpy as np
+
+    def pick(a: pd.DataFrame, b: pd.DataFrame, cos) -> pd.DataFrame:
+        names, first = np.unique(b["name"].to_numpy().astype(str), return_index=True)
+        top = np.maximum.reduceat(cos, first, axis=1)
+        return pd.DataFrame({"meeting": np.repeat(a["meeting"].to_numpy(), len(names)), "cluster": np.repeat(a["cluster"].to_numpy(), len(names)), "name": np.tile(names, len(a)), "score": top.ravel()})
+
+    found = block_products(c, s, pick, "meeting int, cluster long, name string, score double", block)
+    return found.groupBy("meeting", "cluster", "name").agg(F.max("score").alias("score"))
 
 
-_E = f"{_C}, {_SAMPLES}, x AS (SELECT c.meeting, c.cluster, e.name, e.sample, list_dot_product(c.v, e.v) AS cos FROM c, e WHERE c.cluster % 10 = 1 AND e.sample < 400)"
+_E = f"{_C}, {_SAMPLES}, x AS (SELECT c.meeting, c.cluster, e.name, e.sample, list_dot_product(c.v, e.v) AS cos FROM c, e WHERE c.cluster % 100 = 0)"
 
 
 @query("join_enrolled", f"WITH {_E}, b AS (SELECT cluster, name, round(max(cos), 4) AS score FROM x GROUP BY cluster, name) SELECT cluster, name, score FROM b QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY score DESC, name) = 1 AND score >= 0.15")
 def join_enrolled(spark, sf_dir):
-    b = enrolled(spark, sf_dir).groupBy("cluster", "name").agg(F.round(F.max("cos"), 4).alias("score"))
+    b = best_per_name(asked(spark, sf_dir), samples(spark, sf_dir)).withColumn("score", F.round("score", 4))
     best = b.groupBy("cluster").agg(F.min(F.struct(-F.col("score"), "name")).alias("x"))
     return best.select("cluster", "x.name", (-F.col("x.col1")).alias("score")).where("score >= 0.15")
 
 
 @query("join_enrolled_report", f"WITH {_E} SELECT cluster, sample, name, round(cos, 4) AS cos FROM x")
 def join_enrolled_report(spark, sf_dir):
-    return enrolled(spark, sf_dir).select("cluster", "sample", "name", F.round("cos", 4).alias("cos"))
+    return nearest(asked(spark, sf_dir), samples(spark, sf_dir)).select("cluster", "sample", "name", F.round("cos", 4).alias("cos"))
 
 
 @query("agg_best_per_name", f"WITH {_E} SELECT cluster, name, round(max(cos), 4) AS score FROM x GROUP BY cluster, name")
 def agg_best_per_name(spark, sf_dir):
-    return enrolled(spark, sf_dir).groupBy("cluster", "name").agg(F.round(F.max("cos"), 4).alias("score"))
+    return best_per_name(asked(spark, sf_dir), samples(spark, sf_dir)).select("cluster", "name", F.round("score", 4).alias("score"))
 
 
 @query("topk_similar", f"WITH {_E}, k AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY cos DESC, sample) <= 20), b AS (SELECT cluster, name, max(cos) AS cos FROM k GROUP BY ALL) SELECT cluster, name, round(cos, 4) AS score, round(greatest(cos, 0) * 100, 1) AS score_pct, cos >= 0.2 AS passed FROM b")
 def topk_similar(spark, sf_dir):
     """The 20 nearest samples of each cluster, then the best of each name; the pass mark sees the unrounded score."""
-    x = enrolled(spark, sf_dir).withColumn("r", F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("cos"), "sample"))).where("r <= 20")
+    x = nearest(asked(spark, sf_dir), samples(spark, sf_dir), 20)
     return x.groupBy("cluster", "name").agg(F.max("cos").alias("cos")).select("cluster", "name", F.round("cos", 4).alias("score"), F.round(F.greatest("cos", F.lit(0.0)) * 100, 1).alias("score_pct"), (F.col("cos") >= 0.2).alias("passed"))
 
 
-def best_per_name(c: DataFrame, s: DataFrame, block: int = 2048) -> DataFrame:
-    """(meeting, cluster, name, score): each cluster's greatest cosine to a name's samples, by products of bounded blocks."""
-    import numpy as np
-
-    n, k = -(-c.count() // block) or 1, -(-s.count() // block) or 1
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    x = c.select("meeting", "cluster", "v", F.pmod(F.xxhash64("cluster"), F.lit(n)).cast("int").alias("i"), every(k).alias("j"))
-    y = s.select("name", "v", F.pmod(F.xxhash64("sample"), F.lit(k)).cast("int").alias("j"), every(n).alias("i"))
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"meeting": [], "cluster": [], "name": [], "score": []})
-        b = b.sort_values("name", kind="stable")
-        names, first = np.unique(b["name"].to_numpy().astype(str), return_index=True)
-        top = np.maximum.reduceat(np.stack(a["v"].to_numpy()) @ np.stack(b["v"].to_numpy()).T, first, axis=1)
-        return pd.DataFrame({"meeting": np.repeat(a["meeting"].to_numpy(), len(names)), "cluster": np.repeat(a["cluster"].to_numpy(), len(names)), "name": np.tile(names, len(a)), "score": top.ravel()})
-
-    found = x.groupBy("i", "j").cogroup(y.groupBy("i", "j")).applyInPandas(run, "meeting int, cluster long, name string, score double")
-    return found.groupBy("meeting", "cluster", "name").agg(F.max("score").alias("score"))
-
-
 @query("join_greedy_one_to_one")
 def join_greedy_one_to_one(spark, sf_dir):
     """Best first, each cluster and each name once, inside a meeting."""
@@ -345,17 +370,17 @@ def db_delete_id(spark, sf_dir):
     return s.join(s.where("sample % 20 = 3").select("sample"), "sample", "left_anti")
 
 
-@query("db_reset", "SELECT count(*) AS deleted FROM embeddings WHERE vec_id % 10 = 3")
+@query("db_reset", "SELECT count(*) AS deleted FROM embeddings")
 def db_reset(spark, sf_dir):
     return samples(spark, sf_dir).agg(F.count("*").alias("deleted"))
 
 
-@query("agg_quality", f"WITH {_SAMPLES} SELECT y.sample, round(coalesce(avg(list_dot_product(x.v, y.v)), 0), 4) AS quality FROM e y LEFT JOIN e x ON x.name = y.name AND x.sample < y.sample WHERE y.sample < 400 GROUP BY y.sample")
+@query("agg_quality", f"WITH {_SAMPLES} SELECT y.sample, round(coalesce(avg(list_dot_product(x.v, y.v)), 0), 4) + 0 AS quality FROM e y LEFT JOIN e x ON x.name = y.name AND x.sample < y.sample GROUP BY y.sample")
 def agg_quality(spark, sf_dir):
     """Mean cosine to the samples of a name that came before: the product with their mean vector, by a running window."""
     order = W.partitionBy("name", "i").orderBy("sample").rowsBetween(W.unboundedPreceding, -1)
-    x = samples(spark, sf_dir).where("sample < 400").select("sample", "name", F.posexplode("v").alias("i", "x")).withColumn("before", F.avg("x").over(order))
-    return x.groupBy("sample").agg(F.round(F.coalesce(F.sum(F.col("x") * F.col("before")), F.lit(0.0)), 4).alias("quality"))
+    x = samples(spark, sf_dir).select("sample", "name", F.posexplode("v").alias("i", "x")).withColumn("before", F.avg("x").over(order))
+    return x.groupBy("sample").agg((F.round(F.coalesce(F.sum(F.col("x") * F.col("before")), F.lit(0.0)), 4) + F.lit(0.0)).alias("quality"))
 
 
 @query("agg_consistency", f"WITH {_SAMPLES}, l AS (SELECT name, max(sample) AS last FROM e GROUP BY name), x AS (SELECT name, i, avg(x) FILTER (sample < last) AS m, sum(x) FILTER (sample = last) AS t FROM (SELECT name, sample, last, unnest(v) AS x, unnest(range(64)) AS i FROM e JOIN l USING (name)) GROUP BY name, i) SELECT name, round(least(greatest(sum(m * t) / sqrt(sum(m * m)), 0), 1), 4) AS score FROM x GROUP BY name")

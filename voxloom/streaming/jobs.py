@@ -1,7 +1,7 @@
 """The job stream: parse, set bad messages aside, work, write idempotently, acknowledge.
 
 Delivery is at least once. Sinks overwrite by key, so a batch that runs again changes nothing: `upsert` keeps the latest row
-of each key, and chunk indexes replace all chunks of a file. Spark keeps offsets in the checkpoint and commits them after the
+of each key in versions that only count when complete, and chunk indexes replace all chunks of a file. Spark keeps offsets in the checkpoint and commits them after the
 batch, which is after the acknowledgement was written.
 """
 
@@ -18,13 +18,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as St
 from pyspark.sql.streaming import StreamingQueryListener
 
+from voxloom.functions import text as T
 from voxloom.operators.chunking import explode_text, word_windows
 from voxloom.plans import inputs
 from voxloom.plans.registry import query
 from voxloom.sources.readers import parse_job
 
 #: Fields of a message that an acknowledgement repeats.
-ECHO = ["accessVar", "userId", "isUser", "user", "conversationId", "clientSessionId", "queryId", "metaData", "uploadType", "grading", "data", "themes"]
+ECHO = ["accessVar", "userId", "isUser", "user", "path", "conversationId", "clientSessionId", "queryId", "metaData", "uploadType", "grading", "data", "themes"]
+#: Parts of a keyed table that are rewritten by themselves.
+BUCKETS = 64
 
 
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -32,26 +35,75 @@ def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.col(order)).alias("x")).select("x.*")
 
 
-def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str, order: str) -> None:
-    """Write rows into a table of one row a key. The new version is complete before it replaces the old one."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        old = spark.read.parquet(path)
-    except AnalysisException:
-        old = rows.limit(0)
+def _versions(spark: SparkSession, path: str) -> tuple[int, dict[int, list[str]]]:
+    """(the last version begun, the folders of each bucket in complete versions, from old to new)."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found: dict[int, list[str]] = {}
+    if not fs.exists(at):
+        return 0, found
+    names = sorted(int(x.getPath().getName()[2:]) for x in fs.listStatus(at) if x.getPath().getName().startswith("v="))
+    for v in names:
+        own = f"{path}/v={v}"
+        if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{own}/_SUCCESS")):
+            for x in fs.listStatus(jvm.org.apache.hadoop.fs.Path(own)):
+                if (name := x.getPath().getName()).startswith("_vx_bucket="):
+                    found.setdefault(int(name.split("=")[1]), []).append(f"{own}/{name}")
+    return (names or [0])[-1], found
+
+
+def read_table(spark: SparkSession, path: str, only: set[int] | None = None) -> DataFrame | None:
+    """The rows of a table that `upsert` keeps: of each bucket the last complete version. None if there is none."""
+    at = [x[-1] for k, x in sorted(_versions(spark, path)[1].items()) if only is None or k in only]
+    return spark.read.parquet(*at) if at else None
+
+
+def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str, order: str, buckets: int = BUCKETS) -> None:
+    """Write rows into a table of one row a key, in folders path/v=N; `read_table` reads it.
+
+    A batch writes a new version of the buckets that its keys fall into, and of no others. A version counts once Spark has
+    marked it complete, so a crash at any point leaves the table as it was or as it shall be, and a batch that runs again
+    writes the same rows. The version before is kept for readers that have begun; older ones of the bucket go.
+    """
+    rows = rows.withColumn("_vx_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    touched = {r[0] for r in rows.select("_vx_bucket").distinct().collect()}  # at most `buckets` rows
+    if not touched:
+        return
+    last, _ = _versions(spark, path)
+    old = read_table(spark, path, touched)
+    if old is not None:
+        rows = rows.unionByName(old.withColumn("_vx_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
+    latest(rows, key, order).write.mode("overwrite").partitionBy("_vx_bucket").parquet(f"{path}/v={last + 1}")
+    _drop_old(spark, path, touched)
+
+
+def _drop_old(spark: SparkSession, path: str, touched: set[int]) -> None:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    to, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".new")
-    latest(old.unionByName(rows), key, order).write.mode("overwrite").parquet(path + ".new")
-    fs = to.getFileSystem(conf)
-    fs.delete(to, True)
-    fs.rename(new, to)
+    for k, own in _versions(spark, path)[1].items():
+        for folder in own[:-2] if k in touched else ():
+            at = jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(conf).delete(at, True)
 
 
 def acknowledge(jobs: DataFrame) -> DataFrame:
-    """(key, value) of acknowledgements; location fields only on success."""
-    done = F.col("object_key").isNotNull()
-    value = F.struct(F.col("conversation_id").alias("conversationId"), F.col("document_ids").alias("fileIds"), F.col("tenant_id").alias("tenantId"), F.col("compare_mode").alias("compareMode"), F.lit("save").alias("action"), F.when(done, "SUCCESS").otherwise("FAILURE").alias("message"), F.col("description"), F.when(done, F.col("bucket")).alias("summaryBucketName"), F.col("object_key").alias("summaryObjectKey"))
+    """(key, value) of acknowledgements.
+
+    Fields of the message (column `value`, if there is one) that are to be echoed come back with their values and JSON types:
+    a string of braces stays a string, null stays null, what is absent stays absent. `conversationId` is the job's, and `path`
+    becomes bucket/key on success. Location fields exist only on success.
+    """
+    done = (F.coalesce("object_key", F.lit("")) != "") & (F.coalesce("bucket", F.lit("")) != "")
+    given = F.try_parse_json(F.col("value") if "value" in jobs.columns else F.lit(None).cast("string"))
+    echo = {k: F.try_variant_get(given, f"$.{k}", "variant") for k in ECHO}
+    text = lambda c: c.cast("variant")
+    echo["conversationId"] = F.when(F.coalesce("conversation_id", F.lit("")) != "", text(F.col("conversation_id"))).otherwise(echo["conversationId"])
+    echo["path"] = F.when(echo["path"].isNotNull() & done, text(F.concat("bucket", F.lit("/"), "object_key"))).otherwise(echo["path"])
+    value = F.struct(
+        *(x.alias(k) for k, x in echo.items()), F.col("document_ids").alias("fileIds"), F.col("tenant_id").alias("tenantId"), F.col("compare_mode").alias("compareMode"), F.lit("save").alias("action"),
+        F.when(done, "SUCCESS").otherwise("FAILURE").alias("message"), T.capped(F.col("description")).alias("description"),
+        F.when(done, F.col("bucket")).alias("summaryBucketName"), F.when(done, F.col("object_key")).alias("summaryObjectKey"),
+    )
     return jobs.select(F.col("conversation_id").alias("key"), F.to_json(value).alias("value"))
 
 
@@ -179,18 +231,28 @@ def snk_chunks(spark, sf_dir):
     return x.select(F.concat_ws("_", F.col("doc_id").cast("string"), F.lit("1"), F.col("no").cast("string")).alias("id"), F.col("doc_id").alias("fId"), F.lit(1).alias("pageNo"), F.col("no").alias("para"), "text", F.lit(False).alias("in_trash"))
 
 
-@query("snk_kafka_ack", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'SUCCESS' ELSE 'FAILURE' END AS message, c_custkey % 2 = 0 AS has_key FROM customer")
+_ACK = """SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'SUCCESS' ELSE 'FAILURE' END AS message, CASE WHEN c_custkey % 2 = 0 THEN 's/' || c_name END AS object_key, '"u' || c_custkey || '"' AS user_id,
+    CASE c_custkey % 3 WHEN 0 THEN 'true' WHEN 1 THEN '"true"' END AS is_user, '{"deep":[1,null],"n":' || c_custkey || '}' AS meta, '"{}"' AS data, CASE WHEN c_custkey % 2 = 0 THEN '"b/s/' || c_name || '"' ELSE '""' END AS path,
+    '"' || c_custkey || '"' AS conversation, 'null' AS grading FROM customer"""
+
+
+@query("snk_kafka_ack", _ACK)
 def snk_kafka_ack(spark, sf_dir):
+    """Acknowledgements of parsed messages, each echoed field as the JSON it is."""
     k = F.col("c_custkey")
-    jobs = inputs.load(spark, sf_dir, "customer").select(k.cast("string").alias("conversation_id"), F.array("c_name").alias("document_ids"), F.lit("t").alias("tenant_id"), F.lit("").alias("compare_mode"), F.lit("done").alias("description"), F.lit("b").alias("bucket"), F.when(k % 2 == 0, F.concat(F.lit("s/"), "c_name")).alias("object_key"))
-    a = acknowledge(jobs)
-    return a.select(F.col("key").cast("long").alias("c_custkey"), F.get_json_object("value", "$.message").alias("message"), F.get_json_object("value", "$.summaryObjectKey").isNotNull().alias("has_key"))
+    parts = [F.lit('{"conversationId":"'), k, F.lit('","userId":"u'), k, F.lit('","path":"","grading":null,"data":"{}","metaData":{"deep":[1,null],"n":'), k, F.lit("}"), F.when(k % 3 == 0, ',"isUser":true').when(k % 3 == 1, ',"isUser":"true"').otherwise(""), F.lit(',"other":1}')]
+    raw = inputs.load(spark, sf_dir, "customer").select(F.concat(*(x.cast("string") for x in parts)).alias("value"), F.when(k % 2 == 0, F.concat(F.lit("s/"), "c_name")).alias("object_key"))
+    a = acknowledge(parse_job(raw, "value").withColumns({"description": F.lit("done"), "bucket": F.lit("b")}))
+    field = lambda name: F.to_json(F.try_variant_get(F.parse_json("value"), f"$.{name}", "variant"))
+    named = {"user_id": "userId", "is_user": "isUser", "meta": "metaData", "data": "data", "path": "path", "conversation": "conversationId", "grading": "grading"}
+    text = lambda name: F.get_json_object("value", f"$.{name}")
+    return a.select(F.col("key").cast("long").alias("c_custkey"), text("message").alias("message"), text("summaryObjectKey").alias("object_key"), *(field(x).alias(n) for n, x in named.items()))
 
 
-@query("udf_llm", "SELECT conv_id * 100 + turn AS k, 'reply: ' || left(text, 20) AS reply FROM conversations")
+@query("udf_llm", "SELECT conv_id * 100 + turn AS k, 'reply: ' || text AS reply FROM conversations")
 def udf_llm(spark, sf_dir):
     """The model boundary with a stand-in client."""
-    c = inputs.load(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("k"), F.substring("text", 1, 20).alias("p"))
+    c = inputs.load(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("k"), F.col("text").alias("p"))
     return model_calls(c, "k", "p", lambda: "reply: {}".format).select("k", "reply")
 
 
@@ -289,4 +351,4 @@ def stream_job_loop(spark, sf_dir):
 
     q = events.select(value.alias("value")).writeStream.foreachBatch(batch).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{at}/out").select("event_type", "n", "last")
+    return read_table(spark, f"{at}/out").select("event_type", "n", "last")
