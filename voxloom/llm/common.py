@@ -19,12 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, or (only where that is unset) one of our own."""
+    """The folder all executors share: the session's spark.checkpoint.dir, or (only where that is unset, and
+    driver and executors are one process) one of our own. On a cluster without the setting this is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = made.get() if made.isDefined() else None
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="voxloom-shared-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(at)
@@ -68,6 +71,23 @@ class Members:
         return (self.sent.value[at >> 3] >> (at & 7)).astype(np.uint8) & 1 == 1
 
 
+#: Rows of a key, and at most so many keys, from which `meet` broadcasts its row.
+HEAVY = 10_000
+
+
+def meet(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row a key. Keys with more rows in left than the HEAVY-th part of all (and HEAVY)
+    are at most HEAVY keys: their rows of right are broadcast, so no task holds the rows of one key. left should be a table."""
+    counted = left.groupBy(key).agg(F.count("*").alias("_vx_n"))
+    limit = max(HEAVY, left.count() // HEAVY)
+    hot = counted.where(F.col("_vx_n") > limit).select(key)
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    few = F.broadcast(hot)
+    rest = left.join(few, key, "left_anti").join(right, key, how)
+    return rest.unionByName(left.join(few, key, "left_semi").join(F.broadcast(right.join(few, key, "left_semi")), key, how))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
