@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import pytest
 import tiktoken
@@ -43,10 +44,34 @@ def test_any_text(own, library, texts):
     assert own.decode(ids) == [t.encode() for t in texts]
 
 
-def test_memo_is_bounded(own, library, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE", 5)
-    for t in TEXTS[:5]:
+def test_very_long_words(own, library):
+    """Unbroken runs of up to 100,000 letters: the library's ids, and in time that grows with their length."""
+    rng = random.Random(9)
+    runs = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (1025, 5001, 100_000)]
+    runs += ["a" * 6000, "ab" * 2000, "the" * 2000, "é" * 2000, "".join(rng.choice(["tion", "der", "é", "ing", "x", "qu"]) for _ in range(4000)), "x" * 1024, "=" * 3000, "Aa" * 900]
+    began = time.time()
+    assert own.encode([runs[2]])[0][0].tolist() == library.encode_ordinary(runs[2]) and time.time() - began < 60
+    for got, text in zip(own.encode(runs)[0], runs):
+        assert got.tolist() == library.encode_ordinary(text)
+
+
+def test_seams_that_do_not_fit(own, library, monkeypatch):
+    """Small blocks and narrow seams, where many words fall back to the whole recursion."""
+    monkeypatch.setattr(bpe, "WHOLE", 6)
+    monkeypatch.setattr(bpe, "BLOCK", 5)
+    monkeypatch.setattr(bpe, "SEAM", 1)
+    rng = random.Random(10)
+    words = ["".join(rng.choice(["tion", "er", "e", "ing", "x", "an", "th", "é"]) for _ in range(rng.randrange(2, 30))).encode() for _ in range(400)]
+    for got, w in zip(own.words(words), words):
+        assert got.tolist() == library._encode_single_piece(w)
+
+
+@pytest.mark.parametrize("name,bound", [("CACHE", 5), ("CACHED", 100)])
+def test_memo_is_bounded(own, library, monkeypatch, name, bound):
+    monkeypatch.setattr(bpe, name, bound)
+    for t in TEXTS[:5] + TEXTS[8:12]:
         assert own.encode([t])[0][0].tolist() == library.encode_ordinary(t)
+    assert len(own.named) <= bound or own.held <= 10 * max(map(len, TEXTS)) + bound
 
 
 def test_unknown_id(own):

@@ -4,12 +4,17 @@ Encoding: texts are cut by the tokenizer's pattern. Words that are one token nee
 (word, position, token) rows. One step of the recursive query joins neighbouring rows to the merge table, finds for each word
 the pair of least rank, leftmost first, and contracts it; a word without a pair leaves the recursion. Words over LONG bytes
 take a step that contracts every place of the least rank at once where that provably gives the same tokens: no token pair
-with the merged token may have a lower rank, and overlapping places alternate from the left.
+with the merged token may have a lower rank, and overlapping places alternate from the left. Words over WHOLE bytes are cut
+into even blocks of at most BLOCK bytes that go through the recursion side by side; then the tokens around each cut, SEAM on either side,
+are put together and go through it again. Tokens are the encoding of their bytes if each neighbouring pair is the encoding of
+its own bytes, so the blocks and the seams between them make up the word's tokens if a seam begins and ends with a token of its
+blocks. Where it does not, the seam is made wider, and then the blocks, up to the whole word.
 
 Decoding: (text, position, id) rows join the vocabulary, and an ordered string aggregation puts the pieces together. Pieces
 are bytes, carried as one character for each byte.
 
-Only distinct words are encoded, and a bounded memo of CACHE words lives as long as a Python worker. Texts are taken in
+Only distinct words are encoded, and a memo of at most CACHE words and CACHED bytes lives as long as a Python worker; it is
+emptied before the next run of texts when it has outgrown either. Texts are taken in
 runs of about 4 MB, so memory depends on the longest text and not on the partition.
 
 Defined cases: null text is empty; an empty text has no ids and decodes to nothing; repeated rows stay; a null doc_id stays;
@@ -31,6 +36,7 @@ from pyspark.sql import functions as F
 from voxloom.llm.common import batches, give_back, slices, table
 
 LONG, CACHE, AT_ONCE, AT_TIME = 48, 900_000, 48_000, 4 << 20
+WHOLE, BLOCK, SEAM, CACHED = 1024, 256, 8, 64 << 20
 #: Words that with_ids() keeps while it works on a partition, beside a pipeline's other stages in the same workers.
 FEW = 150_000
 
@@ -89,6 +95,7 @@ class Codec:
 
         self.ranks, self.cut = read_ranks(path), regex.compile(pattern)
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
+        self.pieces = {rank: piece for piece, rank in self.ranks.items()}
         a, b, r = [], [], []
         for token, rank in self.ranks.items():
             for i in range(1, len(token)):
@@ -104,6 +111,7 @@ class Codec:
 
     def _forget(self) -> None:
         self.memo: dict[str, int] = {}  # word -> its number
+        self.held = 0
         self.flat, self.start, self.size, self.named = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), []
 
     def _fill(self, name: str, columns: dict) -> None:
@@ -111,12 +119,54 @@ class Codec:
         self.con.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.con.unregister("given")
 
-    def words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word."""
+    def words(self, words: list[bytes], block: int = 0) -> list[np.ndarray]:
+        """Ids of each word: very long ones by blocks and seams, the others as they are."""
+        block = block or BLOCK
+        long = [i for i, w in enumerate(words) if len(w) > max(WHOLE, block) and w not in self.ranks]
+        if not long:
+            return self._whole(words)
+        taken = set(long)
+        out = self._whole([b"" if i in taken else w for i, w in enumerate(words)])
+        cuts = [np.linspace(0, len(words[i]), -(-len(words[i]) // block) + 1).astype(int).tolist() for i in long]
+        done = iter(self._whole([words[i][a:b] for i, own in zip(long, cuts) for a, b in zip(own, own[1:])]))
+        parts = [[next(done).tolist() for _ in own[1:]] for own in cuts]
+        # seams take at most half of a block's tokens, so no two share any; those that do not fit are tried wider
+        fits: list[dict[int, tuple[int, int, list[int]]]] = [{} for _ in parts]
+        open_, width = [(n, k) for n, own in enumerate(parts) for k in range(len(own) - 1)], SEAM
+        while open_:
+            sides = [(min(width, len(parts[n][k]) // 2), min(width, len(parts[n][k + 1]) // 2)) for n, k in open_]
+            tried = [parts[n][k][len(parts[n][k]) - x :] + parts[n][k + 1][:y] for (n, k), (x, y) in zip(open_, sides)]
+            new = [x.tolist() for x in self._whole([b"".join(map(self.pieces.__getitem__, x)) for x in tried])]
+            again = []
+            for (n, k), (x, y), old, ids in zip(open_, sides, tried, new):
+                if x and y and ids[0] == old[0] and ids[-1] == old[-1]:
+                    fits[n][k] = (x, y, ids)
+                elif width < max(len(parts[n][k]), len(parts[n][k + 1])) // 2:
+                    again.append((n, k))
+            open_, width = again, 4 * width
+        rest = []
+        for n, i in enumerate(long):
+            if len(fits[n]) < len(parts[n]) - 1:
+                rest.append(i)
+                continue
+            ids, a = [], 0
+            for k, own in enumerate(parts[n][:-1]):
+                x, y, seam = fits[n][k]
+                ids += own[a : len(own) - x] + seam
+                a = y
+            out[i] = np.array(ids + parts[n][-1][a:], np.int32)
+        for i, ids in zip(rest, self.words([words[i] for i in rest], 4 * block) if rest else ()):
+            out[i] = ids
+        return out
+
+    def _whole(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of each word, by the recursion over the whole of it."""
         out: list = [None] * len(words)
         todo: dict[bool, list[int]] = {False: [], True: []}
         for i, w in enumerate(words):
-            if (own := self.ranks.get(w)) is not None:
+            if not w:
+                out[i] = np.zeros(0, np.int32)
+            elif (own := self.ranks.get(w)) is not None:
                 out[i] = np.array([own], np.int32)
             else:
                 todo[len(w) > LONG].append(i)
@@ -137,6 +187,7 @@ class Codec:
     def _learn(self, new: list[str]) -> None:
         ids = self.words([w.encode("utf-8", "surrogatepass") for w in new])
         self.memo.update(zip(new, range(len(self.named), len(self.named) + len(new))))
+        self.held += sum(map(len, new)) + 10 * sum(map(len, ids))
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(sizes) - sizes))
         self.size = np.concatenate((self.size, sizes))
@@ -146,7 +197,7 @@ class Codec:
 
     def encode(self, texts: list[str], cache: int | None = None) -> tuple[list[np.ndarray], list[str]]:
         """For each text its ids, as an array and as decimal numbers joined by commas."""
-        if len(self.named) > (CACHE if cache is None else cache):
+        if len(self.named) > (CACHE if cache is None else cache) or self.held > CACHED:
             self._forget()
         words = [self.cut.findall(x) for x in texts]
         found = [list(map(self.memo.get, x)) for x in words]
