@@ -44,3 +44,40 @@ def test_defined_cases(spark):
         model = Q.train(docs, spark.createDataFrame(share, "doc_id long, quality int"))
         assert Q.score(docs, model).first().score == pytest.approx(want, abs=1e-3)
     assert Q.score(docs.limit(0), Q.train(docs.limit(0), labels)).collect() == []
+
+
+def slow_probability(model, text):
+    """The network place by place, over the whole text."""
+    data = text.encode()
+    starts = range(0, max(1, len(data) - (Q.CHUNK - Q.STRIDE)), Q.STRIDE) if len(data) > Q.CHUNK else [0]
+    total = 0.0
+    for a in starts:
+        piece = data[a : a + Q.CHUNK].ljust(Q.CHUNK, b"\0")
+        sums = [[sum(float(model.tables[j, piece[i + j], f]) for j in range(Q.WIDTH)) for i in range(Q.CHUNK - Q.WIDTH + 1)] for f in range(Q.FILTERS)]
+        total += sum(max(max(x) + float(model.bias[f]), 0) * float(model.dense[f]) for f, x in enumerate(sums)) + model.offset
+    return 1 / (1 + np.exp(-total / len(starts)))
+
+
+def test_query_against_a_slow_network(spark):
+    d = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{d}/{x}.parquet") for x in ("documents", "labels"))
+    model = Q.train(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r for r in Q.op7_quality(spark, d).collect()}
+    long = max(texts, key=lambda i: (len(texts[i]) < 6000, len(texts[i])))
+    for i in [*sorted(texts)[:6], long]:
+        assert abs(got[i].score - slow_probability(model, texts[i] or "")) < 1e-3 and got[i].predicted == (got[i].score >= 0.3)
+
+
+def test_learns_from_the_whole_of_a_long_text():
+    """What tells the labels apart stands in one place of a long text, wherever that is."""
+    rng = np.random.default_rng(2)
+    plain = lambda n: bytes(rng.choice(np.frombuffer(b"abcdefgh ", np.uint8), n))
+    texts, labels = [], []
+    for i in range(80):
+        a = int(rng.integers(0, 5000))
+        texts.append(plain(a) + (b"ZZZZZZZZ" if i % 2 else b"") + plain(5000 - a))
+        labels.append(i % 2)
+    model = Q.fit(texts, labels, steps=60)
+    p = Q.probabilities(model, model.pairs(), texts)
+    assert np.mean((p > 0.5) == np.array(labels)) > 0.9

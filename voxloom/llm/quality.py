@@ -5,8 +5,8 @@ every place of a chunk; each filter is max-pooled over the chunk, a dense layer
 logits over all chunks gives one probability for the text. A chunk that is not full is padded with byte zero, so an empty text
 is one chunk of padding.
 
-Training is on the driver, on at most SAMPLE labelled rows (those whose id hashes lowest) and at most CHUNKS evenly spread
-chunks of each; both bounds are parameters, and scoring always covers whole texts. Rows whose crc32(doc_id as text) mod 5 is
+Training is on the driver, on at most SAMPLE labelled rows (those whose id hashes lowest; the bound is a parameter), with all
+chunks of their texts, some at a time; scoring always covers whole texts. Rows whose crc32(doc_id as text) mod 5 is
 0 are never learned from. Gradients flow only through the place of each maximum. Labels, lang, source and doc_id are no
 inputs. For scoring, the byte tables of two neighbouring places are added beforehand, so that a filter bank costs one lookup
 for two bytes.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from voxloom.llm.common import crc_mod, give_back, slices, table
 
-SAMPLE, CHUNKS = 3000, 4
+SAMPLE = 3000
 CHUNK, STRIDE, WIDTH, FILTERS = 512, 448, 6, 16
 STEPS, BATCH, RATE, DECAY = 560, 32, 0.01, 1e-4
 THRESHOLD = 0.3
@@ -84,11 +84,9 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 7, steps: int = STEPS
         model.dense[:], model.offset = 0, float(np.clip(np.log(max(share, 1e-6) / max(1 - share, 1e-6)), -14, 14)) if share != 0.5 else 0.0
         return model
     model.offset = float(np.log(share / (1 - share)))
-    rows, owner = [], []
-    for i, x in enumerate(texts):
-        own = chunks(np.frombuffer(x, np.uint8))
-        rows.append(own[np.unique(np.linspace(0, len(own) - 1, CHUNKS).astype(int))])
-        owner.append(np.full(len(rows[-1]), i))
+    rows = []
+    for x in texts:
+        rows.append(chunks(np.frombuffer(x, np.uint8)))
     first = np.cumsum([0, *map(len, rows)])
     rows, y = np.concatenate(rows), np.array(labels, np.float64)
     names = ("tables", "bias", "dense")
@@ -103,9 +101,12 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 7, steps: int = STEPS
             own = np.concatenate([np.arange(first[d], first[d + 1]) for d in docs])
             of = np.repeat(np.arange(len(docs)), first[docs + 1] - first[docs])
             x = rows[own]
-            act = activations(model.pairs(), x)
-            at = act.argmax(axis=1)
-            peak = np.take_along_axis(act, at[:, None, :], 1)[:, 0, :] + model.bias
+            pairs, at, peak = model.pairs(), np.empty((len(x), FILTERS), np.int64), np.empty((len(x), FILTERS), np.float32)
+            for i in range(0, len(x), 32):  # only the place and the value of each maximum stay
+                act = activations(pairs, x[i : i + 32])
+                at[i : i + 32] = act.argmax(axis=1)
+                peak[i : i + 32] = np.take_along_axis(act, at[i : i + 32, None, :], 1)[:, 0, :]
+            peak += model.bias
             pooled = np.maximum(peak, 0)
             count = np.bincount(of, minlength=len(docs))
             z = np.bincount(of, pooled @ model.dense + model.offset, len(docs)) / count
@@ -145,28 +146,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = training_rows(docs, labels, sample)
-    # the learner sees only CHUNKS chunks of a text, so the bytes sent to the driver are bounded too
-    spread = CHUNKS * CHUNK
-
-    def thin(parts):
-        for part in parts:
-            out = []
-            for x in pc.fill_null(part.column(1), "").to_pylist():
-                x = x.encode("utf-8", "surrogatepass")
-                own = chunks(np.frombuffer(x, np.uint8))
-                out.append(x if len(x) <= spread else own[np.unique(np.linspace(0, len(own) - 1, CHUNKS).astype(int))].tobytes())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary()), part.column(2)], names=["doc_id", "text", "quality"])
-
-    got = rows.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(thin, "doc_id long, text binary, quality int").collect()
+    got = rows.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("text"), F.col("quality").cast("int").alias("quality")).collect()
     got.sort(key=lambda r: r.doc_id)
     return fit([bytes(r.text) for r in got], [r.quality for r in got])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a last column `score`; all other columns pass through as they are."""
-    at, kept = docs.columns.index("text"), [f for f in docs.schema.fields if f.name != "score"]
+def score(docs: DataFrame, model: Model, to: str = "score") -> DataFrame:
+    """docs with a last column of scores, which replaces one of its name; all other columns pass through as they are."""
+    at, kept = docs.columns.index("text"), [f for f in docs.schema.fields if f.name != to]
     names = [f.name for f in kept]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "score double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{to}` double"])
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size, about 100 kB
 
     def run(parts):
@@ -174,7 +163,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for part in (x for whole in parts for x in slices(whole, at)):
             tables = tables or model.pairs()
             texts = [x.encode("utf-8", "surrogatepass") for x in pc.fill_null(part.column(at), "").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), pa.array(probabilities(model, tables, texts))], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), pa.array(probabilities(model, tables, texts))], names=[*names, to])
         del tables
         give_back()
 
