@@ -91,3 +91,14 @@ def test_links_through_null_ids(spark):
         rows = [(None if i % 2 else 20 + i, v) for i, v in enumerate(near)]
         got = near_vectors(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
         assert {(r.n_links, r.component_id) for r in got} == {(7, 20)} and [r.vec_id for r in got if r.kept] == [20]
+
+
+def test_vectors_of_several_lengths(spark):
+    """Each length links among itself, however rare it is; nothing links across."""
+    rng = np.random.default_rng(12)
+    common, rare = rng.normal(size=(30, 24)).tolist(), rng.normal(size=(3, 7)).tolist()
+    rows = list(enumerate(common)) + [(100 + i, [x * 1.001 for x in v]) for i, v in enumerate(rare)] + [(200 + i, [*v[:-1], v[-1] * 1.01]) for i, v in enumerate(rare)] + [(300, rare[0][:6]), (301, []), (302, [0.0] * 7), (303, [0.0] * 7)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    for i in range(3):
+        assert got[100 + i] == (1, 100 + i, True) and got[200 + i] == (1, 100 + i, False)
+    assert got[300] == (0, 300, True) and got[301] == (0, 301, True) and got[302] == (0, 302, True) and got[303] == (0, 303, True)

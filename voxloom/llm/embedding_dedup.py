@@ -11,14 +11,15 @@ that a bucket with very many near copies is spread over tasks. Matrix products o
 for each class, its number of links and its root in the group's spanning forest, never the pairs. Distributed connected
 components join the forests.
 
-Defined cases: vectors that are null, empty, zero, of another length than the first hyperplanes expect, or with null or
-non-finite components link with nothing; repeated rows (one vec_id) are vectors of their own that share an id; a null vec_id
+Defined cases: vectors that are null, empty, zero, or with null or non-finite components link with nothing; vectors of several
+lengths are worked on length by length, as those of different lengths have no cosine; repeated rows (one vec_id) are vectors of their own that share an id; a null vec_id
 stays and names no component while another member has an id; an empty table gives an empty result; further columns are
 ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -69,9 +70,32 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, least: float = LEAST,
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"))
     rows = rows.withColumn("c", F.xxhash64("v")).withColumn("c2", F.xxhash64(F.lit(1), "v"))  # 128 bits name a class
     classes = cut(spark, rows.where("v is not null").groupBy("c", "c2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.any_value("v").alias("v")))
-    first = classes.select(F.size("v").alias("n")).groupBy("n").count().orderBy(F.desc("count"), "n").first()
-    dim = first.n if first else 0
-    tables, bits = plan(classes.count(), least)
+    lengths = classes.where(F.size("v") > 0).groupBy(F.size("v").alias("n")).agg(F.count("*").alias("m")).collect()  # a row for each length
+    found = [_links(spark, classes.where(F.size("v") == r.n), r.n, r.m, least, block) for r in lengths]
+    found = functools.reduce(DataFrame.union, found) if found else spark.createDataFrame([], "c long, c2 long, links long, r long, r2 long")
+    counted = found.groupBy("c", "c2").agg(F.sum("links").alias("links"))
+    # classes are the nodes (64 bits name one here), so that a class without an id still links; a component is named afterwards
+    component = connected_components(spark, found.where("c != r").select("c", "r"))
+    known = classes.select("c", "c2", "rep", "m").join(counted, ["c", "c2"], "left").join(component, F.col("c") == F.col("id"), "left")
+    known = cut(spark, known.withColumn("to", F.coalesce("component", "c")).drop("id", "component"))
+    known = known.join(known.groupBy("to").agg(F.min("rep").alias("least")), "to")
+    # a vector that is nothing to compare does not link with its own copies either
+    known = known.join(_comparable(classes).withColumnsRenamed({"c": "_g", "c2": "_g2"}), (F.col("c") == F.col("_g")) & (F.col("c2") == F.col("_g2")), "left_semi")
+    known = known.select(F.col("c").alias("_c"), F.col("c2").alias("_c2"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("_links"), F.col("least").alias("_to"))
+    out = rows.select("vec_id", "c", "c2").join(known, (F.col("c") == F.col("_c")) & (F.col("c2") == F.col("_c2")), "left")
+    out = out.select("vec_id", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("_to", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def _comparable(classes: DataFrame) -> DataFrame:
+    """(c, c2) of classes whose vector has a direction."""
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return classes.where((F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0)).select("c", "c2")
+
+
+def _links(spark: SparkSession, classes: DataFrame, dim: int, n: int, least: float, block: int) -> DataFrame:
+    """Links between n classes of vectors of one length, as bucket_links gives them."""
+    tables, bits = plan(n, least)
     kind = dict(classes.dtypes)["v"]
 
     def hashed(parts):
@@ -82,20 +106,11 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, least: float = LEAST,
             yield pa.RecordBatch.from_arrays([*(part.column(i).take(pick) for i in range(5)), flat], names=["c", "c2", "rep", "m", "v", "codes"])
 
     units = cut(spark, classes.mapInArrow(hashed, f"c long, c2 long, rep long, m long, v {kind}, codes array<int>"))
+
     def members(column: pa.Array) -> np.ndarray:
         return _unit(column.flatten().to_numpy().reshape(len(column), dim).astype(np.float64))[1]
 
-    found = bucket_links(spark, units.select("c", "c2", "m", "v", "codes"), tables << bits, members, lambda a, b: a @ b.T >= least, block)
-    counted = found.groupBy("c", "c2").agg(F.sum("links").alias("links"))
-    # classes are the nodes (64 bits name one here), so that a class without an id still links; a component is named afterwards
-    component = connected_components(spark, found.where("c != r").select("c", "r"))
-    known = units.select("c", "c2", "rep", "m").join(counted, ["c", "c2"], "left").join(component, F.col("c") == F.col("id"), "left")
-    known = cut(spark, known.withColumn("to", F.coalesce("component", "c")).drop("id", "component"))
-    known = known.join(known.groupBy("to").agg(F.min("rep").alias("least")), "to")
-    known = known.select(F.col("c").alias("_c"), F.col("c2").alias("_c2"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("_links"), F.col("least").alias("_to"))
-    out = rows.select("vec_id", "c", "c2").join(known, (F.col("c") == F.col("_c")) & (F.col("c2") == F.col("_c2")), "left")
-    out = out.select("vec_id", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("_to", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    return bucket_links(spark, units.select("c", "c2", "m", "v", "codes"), tables << bits, members, lambda a, b: a @ b.T >= least, block)
 
 
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
