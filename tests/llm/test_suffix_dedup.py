@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from voxloom.llm import suffix_dedup
 from voxloom.llm.suffix_dedup import PASSAGE, WORDS, SuffixOrder, dedup_text, kept_bytes, long_passages, whole_characters
 
 L = 60
@@ -44,19 +45,20 @@ def expected(docs):
         yield d, len(raw), int(gone.sum()), runs, hashlib.sha256(raw[~gone].tobytes()).hexdigest()
 
 
-@pytest.mark.parametrize("seed,hot", [(1, 8192), (2, 8192), (2, 1)])
-def test_all_copies(spark, seed, hot):
+@pytest.mark.parametrize("seed,group,heavy", [(1, 8192, 10_000), (2, 8192, 3), (2, 1, 10_000), (4, 4, 5)])
+def test_all_copies(spark, monkeypatch, seed, group, heavy):
+    monkeypatch.setattr(suffix_dedup, "HEAVY", heavy)
     docs = corpus(seed)
-    got = kept_bytes(spark, spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, h string"), L, "none", hot).collect()
+    got = kept_bytes(spark, spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, h string"), L, "none", group).collect()
     key = lambda r: tuple(-1 if x is None else x for x in r)
     assert sorted(map(tuple, got), key=key) == sorted(expected(docs), key=key)
 
 
-@pytest.mark.parametrize("hot", [8192, 1])
-def test_first_stays(spark, hot):
+@pytest.mark.parametrize("group", [8192, 3, 1])
+def test_first_stays(spark, group):
     docs = [x for x in corpus(3) if x[0] is not None and x[0] != 7]
     df = spark.createDataFrame([(t, d, d, d) for d, t in docs], "text string, doc_id long, lo long, n long")
-    got = {r.doc_id: r for r in dedup_text(spark, df, L, "first", hot).collect()}
+    got = {r.doc_id: r for r in dedup_text(spark, df, L, "first", group).collect()}
     assert all(r.lo == r.n == r.doc_id for r in got.values()) and len(got) == len(docs)
     order = {d: i for i, (d, _) in enumerate(sorted(docs))}
     drop = {d: np.zeros(len((t or "").encode()), bool) for d, t in docs}
@@ -111,6 +113,30 @@ def test_passages_by_words(spark):
 
 def test_short_repeats_that_touch_are_no_passage():
     raw = b" ".join([b"ab"] * 90)
-    touching = [{"lo": 0, "ranges": [0, 10]}, {"lo": 110, "ranges": [0, 10]}]
-    assert long_passages(touching, raw, 101, 50) == []
-    assert long_passages([{"lo": 0, "ranges": [0, 30]}, {"lo": 30, "ranges": [0, 25]}], raw, 101, 50) == [(0, 155)]
+    assert long_passages([[0, 10], [110, 120]], raw, 101, 50) == []
+    assert long_passages([[0, 30], [30, 55]], raw, 101, 50) == [(0, 155)]
+
+
+def test_megabytes_of_one_byte(spark):
+    """Texts of one byte make an excerpt for each place; all of them are one string."""
+    rows = [(1, "a" * 1_000_000), (2, "b" * 399), (3, "c" * 400), (4, "ab" * 100_000), (5, "".join(f"{i} " for i in range(9000)))]
+    got = {r.doc_id: r for r in kept_bytes(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: (r.n_removed, r.n_spans) for d, r in got.items()} == {1: (1_000_000, 1), 2: (0, 0), 3: (0, 0), 4: (200_000, 1), 5: (0, 0)}
+    first = {r.doc_id: r.text for r in dedup_text(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: len(x) for d, x in first.items()} == {1: 1, 2: 399, 3: 400, 4: 2, 5: len(rows[4][1])}
+
+
+def test_halves_hold_every_place_once():
+    rng = random.Random(8)
+    raw = words(rng, 400).encode()
+    n = L - suffix_dedup.GRAM + 1
+    want = sorted(range(len(raw) - L + 1))
+    every = lambda x: np.ones(len(x), bool)
+    for level in range(n.bit_length() + 2):
+        rows = [r for part in suffix_dedup.excerpt_rows([raw], L, [every] * level) for r in zip(*(x.tolist() for x in part))]
+        assert sorted(a + i for _, a, k, _, _ in rows for i in range(k)) == want
+    assert all(r[2] == 1 for r in rows)  # each place by itself in the end, and its group by the whole string
+    groups = defaultdict(set)
+    for _, a, _, h, _ in rows:
+        groups[h].add(raw[a : a + L])
+    assert all(len(x) == 1 for x in groups.values())

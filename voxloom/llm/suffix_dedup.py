@@ -12,10 +12,14 @@ without one suffix array over the whole corpus:
    ones in text order. Neighbours give the LCP array; previous and next smaller positions in suffix order give each place's
    longest previous factor (LPF), previous and next larger ones its longest next factor (LNF). A place with LPF >= LENGTH is
    a later copy; one with either >= LENGTH is repeated. A member that is not its class's first is a later copy throughout.
-4. Anchor hashes with more than HOT classes are compared by the counts of their places' strings instead, which no task has to
-   hold together.
+4. An anchor hash with more than GROUP classes is too much for one task. Its excerpts are divided by the distance from place to
+   anchor, into halves of a range of distances, and the bytes that all strings of a half share take the place of the anchor
+   hash. Equal strings share them, so the method goes on as before inside these smaller groups, and divides again while a group
+   is too large: at the ninth division (of 400 bytes) the shared bytes are the whole string, so that one class is left.
 
-Sides of joins that grow with the corpus are never broadcast, also where they happen to be small: the plan is one at every size.
+Members of a class get its result by a join; classes with more members than the HEAVY-th part of all (and HEAVY) are so few that
+their results are broadcast, and no task holds the members of one class. No other side of a join that grows with the corpus is
+broadcast, also where it happens to be small.
 
 Every byte that a chosen place's LENGTH bytes cover is removed: places of later copies with keep="first", all repeated places
 with keep="none".
@@ -27,18 +31,24 @@ first; an empty table gives an empty result; further columns are ignored by `kep
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from voxloom.llm.common import Members, cut, give_back, slices, stored, table
 
-LENGTH, GRAM, HOT = 400, 32, 8192
+LENGTH, GRAM = 400, 32
+#: Classes of an anchor that one task compares; members of a class, and at most so many classes, whose result is broadcast.
+GROUP, HEAVY = 2048, 10_000
 #: A passage of more than WORDS words has this many bytes at least.
 WORDS, PASSAGE = 50, 101
 _CHUNK, _HELD, _POS = 1 << 17, 1 << 18, (1 << 20) - 1
@@ -68,13 +78,14 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH):
-    """For the texts data[bounds[i]:bounds[i+1]]: (text, first place in it, number of places, anchor hash) of each excerpt.
+    """For the texts data[bounds[i]:bounds[i+1]]: (text, first place in it, number of places, anchor hash, distance from the first
+    place to the anchor) of each excerpt.
 
     data has at most 2**20 bytes, so an anchor's position fits below the hash's upper 44 bits.
     """
     empty = np.zeros(0, np.int64)
     if len(data) < length:
-        return empty, empty, empty, np.zeros(0, np.uint64)
+        return empty, empty, empty, np.zeros(0, np.uint64), empty
     h = gram_hashes(data)
     key = (h & ~np.uint64(_POS)) | np.arange(len(h), dtype=np.uint64)
     at = (sliding_min(key, length - GRAM + 1) & np.uint64(_POS)).astype(np.int64)
@@ -85,7 +96,7 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH):
     new &= inside
     starts = np.flatnonzero(new)
     ends = np.flatnonzero(inside & np.append(new[1:] | ~inside[1:], True)) + 1
-    return owner[starts], starts - bounds[owner[starts]], ends - starts, h[at[starts]]
+    return owner[starts], starts - bounds[owner[starts]], ends - starts, h[at[starts]], at[starts] - starts
 
 
 def _pieces(texts: list[bytes], length: int):
@@ -103,15 +114,45 @@ def _pieces(texts: list[bytes], length: int):
         yield b"".join(parts), np.cumsum([0, *map(len, parts)]), own, offsets
 
 
-def excerpt_rows(texts: list[bytes], length: int):
-    """(text, place, places, anchor hash, hash of the excerpt) of each excerpt of the texts, as arrays."""
+def divided(raw: bytes, length: int, level: int, rows: np.ndarray, cols):
+    """(row, first place in raw, places, hash, distance to the anchor) of the halves of excerpts `rows` of cols, which have
+    been divided level - 1 times: a half has the hash of the bytes that all strings of its range of distances share."""
+    first, n, d = (x[rows] for x in cols)
+    most = length - GRAM
+    span = max(1, (1 << most.bit_length()) >> level)
+    half = d // span
+    upper = np.minimum(n, d - half * span + 1)
+    two = np.flatnonzero(upper < n)
+    row = np.concatenate((rows, rows[two]))
+    first, n, d, half = np.concatenate((first, (first + upper)[two])), np.concatenate((upper, (n - upper)[two])), np.concatenate((d, (d - upper)[two])), np.concatenate((half, half[two] - 1))
+    a = first + d - half * span
+    b = first + d - np.minimum((half + 1) * span - 1, most) + length
+    digest, seed = xxhash.xxh3_64_intdigest, (level << 40) + half
+    h = np.array([digest(raw[x:y], seed=z) for x, y, z in zip(a.tolist(), b.tolist(), seed.tolist())], np.uint64)
+    return row, first, n, h, d
+
+
+def excerpt_rows(texts: list[bytes], length: int, crowded=(), last: bool = False):
+    """(text, place, places, anchor hash, hash of the excerpt) of each excerpt of the texts, as arrays.
+
+    crowded: for each division which groups it divides; last: only what comes from the last division.
+    """
+    digest = xxhash.xxh3_64_intdigest
     for raw, bounds, own, offsets in _pieces(texts, length):
-        doc, lo, n, h = anchors(np.frombuffer(raw, np.uint8), bounds, length)
-        a = bounds[doc] + lo
-        b = a + n - 1 + length
-        digest = xxhash.xxh3_64_intdigest
-        key = np.array([digest(raw[x:y]) for x, y in zip(a.tolist(), b.tolist())], np.uint64)
-        yield np.array(own, np.int64)[doc], np.array(offsets, np.int64)[doc] + lo, n, h.view(np.int64), key.view(np.int64)
+        doc, lo, n, h, d = anchors(np.frombuffer(raw, np.uint8), bounds, length)
+        first, level = bounds[doc] + lo, np.zeros(len(doc), np.int64)
+        for k, hot in enumerate(crowded, 1):
+            rows = np.flatnonzero((level == k - 1) & hot(h.view(np.int64)))
+            at, *new = divided(raw, length, k, rows, (first, n, d))
+            stays = np.ones(len(doc), bool)
+            stays[rows] = False
+            doc, level = np.concatenate((doc[stays], doc[at])), np.concatenate((level[stays], np.full(len(at), k)))
+            first, n, h, d = (np.concatenate((x[stays], y)) for x, y in zip((first, n, h, d), new))
+        if last and crowded:
+            keep = level == len(crowded)
+            doc, first, n, h = doc[keep], first[keep], n[keep], h[keep]
+        key = np.array([digest(raw[x:y]) for x, y in zip(first.tolist(), (first + n - 1 + length).tolist())], np.uint64)
+        yield np.array(own, np.int64)[doc], np.array(offsets, np.int64)[doc] + first - bounds[doc], n, h.view(np.int64), key.view(np.int64)
 
 
 def _dense(keys: np.ndarray) -> np.ndarray:
@@ -252,28 +293,27 @@ def _compare_sorted(length: int, at_once: int = 1 << 19):
     return run
 
 
-def _places(length: int):
-    """Rows (h, doc_id, t, lo, key, excerpt) -> a row for each place, with 128 bits for the string that starts there."""
-
-    def run(parts):
-        for part in parts:
-            for h, d, t, lo, key, raw in zip(*(part.column(i).to_pylist() for i in range(6))):
-                n = len(raw) - length + 1
-                digest = [xxhash.xxh3_128_digest(raw[i : i + length]) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, h)), pa.array(np.full(n, key)), pa.array([d] * n, pa.int64()), pa.array(np.full(n, t)), pa.array(lo + np.arange(n)), pa.array(np.arange(n, dtype=np.int32)), pa.array(digest, pa.binary())], names=["h", "key", "doc_id", "t", "lo", "place", "string"])
-
-    return run
-
-
-def _join_places(parts):
+def _merge_places(parts):
+    """Rows (doc_id, t, lo, ranges counted from lo) -> (doc_id, t, flat ranges): the rows of a batch with one text as one."""
     for part in parts:
-        out = ([], [])
-        for places, later in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
-            for to, own in zip(out, (places, later)):
-                flags = np.zeros(max(places, default=-1) + 1, bool)
-                flags[own] = True
-                to.append(_ranges(flags))
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out[0], _LISTS), pa.array(out[1], _LISTS)], names=["h", "key", "other", "later"])
+        if not part.num_rows:
+            continue
+        ids, t, lists = part.column(0), part.column(1).to_numpy(), part.column(3)
+        null, size = ids.is_null().to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy() // 2
+        d, row, flat = pc.fill_null(ids, 0).to_numpy(), np.repeat(np.arange(part.num_rows), size), lists.flatten().to_numpy().astype(np.int64)
+        lo = part.column(2).to_numpy()[row]
+        a, b = flat[::2] + lo, flat[1::2] + lo
+        order = np.lexsort((a, t[row], d[row], null[row]))
+        row, a, b = row[order], a[order], b[order]
+        new = np.concatenate(([True], (t[row[1:]] != t[row[:-1]]) | (d[row[1:]] != d[row[:-1]]) | (null[row[1:]] != null[row[:-1]])))
+        text = np.cumsum(new) - 1
+        reach = np.maximum.accumulate(b + (text << 40)) - (text << 40)
+        starts = np.flatnonzero(new | np.concatenate(([True], a[1:] > reach[:-1])))
+        ends = reach[np.append(starts[1:], len(a)) - 1]
+        offsets = 2 * np.searchsorted(text[starts], np.arange(text[-1] + 2))
+        at = pa.array(row[np.flatnonzero(new)])
+        own = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.column_stack((a[starts], ends)).ravel().astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([ids.take(at), part.column(1).take(at), own], names=["doc_id", "t", "own"])
 
 
 def _text_rows(docs: DataFrame) -> DataFrame:
@@ -301,39 +341,56 @@ def _only(members: Members, at: int, inside: bool):
     return run
 
 
-def removed_ranges(spark: SparkSession, docs: DataFrame, length: int = LENGTH, keep: str = "first", hot: int = HOT) -> DataFrame:
+def removed_ranges(spark: SparkSession, docs: DataFrame, length: int = LENGTH, keep: str = "first", group: int = GROUP) -> DataFrame:
     """(_vx_d, _vx_t, _vx_own) for each document that loses bytes: doc_id, xxhash64 of the text, and the places that go as
-    structs (lo, ranges), where ranges is a flat list of [start, end) counted from lo."""
+    lists of flat ranges [start, end)."""
     if keep not in ("first", "none"):
         raise ValueError("keep is 'first' or 'none'")
-    text = _text_rows(docs)
-
-    def scan(parts):
-        for part in (x for whole in parts for x in slices(whole, 2)):
-            texts = part.column(2).cast(pa.binary()).to_pylist()
-            for own, lo, n, h, key in excerpt_rows(texts, length):
-                at = pa.array(own)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(lo), pa.array(n.astype(np.int32)), pa.array(h), pa.array(key)], names=["doc_id", "t", "lo", "n", "h", "key"])
-        give_back()
-
-    # most anchors occur once: a bit table drops nearly all of them before they are shuffled
-    found = stored(spark, text.select("doc_id", "t", "text").mapInArrow(scan, "doc_id long, t long, lo long, n int, h long, key long"), "anchors")
-    shared = stored(spark, found.groupBy("h").agg(F.count("*").alias("all")).where("all > 1").select(F.col("h").alias("_h")), "shared")
-    found = found.mapInArrow(_only(Members(spark, shared), 4, True), found.schema)
-    found = stored(spark, found.join(shared.hint("merge"), F.col("h") == F.col("_h"), "left_semi"), "anchors")
-    classes = found.groupBy("h", "key").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "t", "lo")).alias("first"))
-    per_hash = classes.groupBy("h").agg(F.count("*").alias("c")).withColumnRenamed("h", "_h")
-    classes = stored(spark, classes.join(per_hash.hint("merge"), F.col("h") == F.col("_h")).select("h", "key", "m", "first", "c"), "classes")
+    text = _text_rows(docs).select("doc_id", "t", "k", "text")
+
+    def scan(crowded, among):
+        def run(parts):
+            for whole in parts:
+                whole = whole if among is None else whole.filter(pa.array(among(whole.column(2).to_numpy())))
+                for part in slices(whole, 3):
+                    texts = part.column(3).cast(pa.binary()).to_pylist()
+                    for own, lo, n, h, key in excerpt_rows(texts, length, crowded, True):
+                        at = pa.array(own)
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(lo), pa.array(n.astype(np.int32)), pa.array(h), pa.array(key)], names=["doc_id", "t", "lo", "n", "h", "key"])
+            give_back()
+
+        return run
+
+    crowded: list[Members] = []
+    among, found, classes = None, [], []
+    while True:
+        # most anchors occur once: a bit table drops nearly all of them before they are shuffled
+        own = stored(spark, text.mapInArrow(scan(list(crowded), among), "doc_id long, t long, lo long, n int, h long, key long"), "anchors")
+        shared = stored(spark, own.groupBy("h").agg(F.count("*").alias("all")).where("all > 1").select("h"), "shared")
+        own = own.mapInArrow(_only(Members(spark, shared), 4, True), own.schema)
+        kinds = stored(spark, own.groupBy("h", "key").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "t", "lo")).alias("first")), "classes")
+        many = stored(spark, kinds.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > group).select("h"), "crowded")
+        if many.isEmpty():
+            found.append(own)
+            classes.append(kinds)
+            break
+        bits = Members(spark, many)
+        found.append(own.mapInArrow(_only(bits, 4, False), own.schema))
+        classes.append(kinds.mapInArrow(_only(bits, 0, False), kinds.schema))
+        among = Members(spark, own.mapInArrow(_only(bits, 4, True), own.schema).select(F.xxhash64("t", "doc_id")).distinct())
+        crowded.append(bits)
+    found, classes = functools.reduce(DataFrame.union, found), functools.reduce(DataFrame.union, classes)
+    classes = stored(spark, classes.withColumn("c", F.count("*").over(W.partitionBy("h"))).where("m > 1 or c > 1"), "classes")
 
     # the bytes of classes that share their anchor hash with another class: cut out where the text is, no text is shuffled
-    reps = classes.where("c > 1").select("h", "first.doc_id", "first.t", "first.lo", "key", "m", "c")
+    reps = classes.where("c > 1").select("h", "first.doc_id", "first.t", "first.lo", "key", "m")
     held, taken = Members(spark, reps.select(F.xxhash64("t", "doc_id"))), Members(spark, reps.select(_mixed(F.col("h"), F.col("key"), F.col("t"), F.col("lo"), F.coalesce("doc_id", F.lit(0)))))
 
     def take(parts):
         for part in (x for whole in parts for x in slices(whole.filter(pa.array(held(whole.column(2).to_numpy()))), 3)):
             texts = part.column(3).cast(pa.binary()).to_pylist()
             ids, ts = pc.fill_null(part.column(0), 0).to_numpy(), part.column(1).to_numpy()
-            for own, lo, n, h, key in excerpt_rows(texts, length):
+            for own, lo, n, h, key in excerpt_rows(texts, length, crowded):
                 keep = np.flatnonzero(taken(_mixed(h, key, ts[own], lo, ids[own])))
                 own, lo, n, h, key = (x[keep] for x in (own, lo, n, h, key))
                 cut_out = [texts[i][a : a + k - 1 + length] for i, a, k in zip(own.tolist(), lo.tolist(), n.tolist())]
@@ -341,45 +398,43 @@ def removed_ranges(spark: SparkSession, docs: DataFrame, length: int = LENGTH, k
                 yield pa.RecordBatch.from_arrays([pa.array(h), part.column(0).take(at), part.column(1).take(at), pa.array(lo), pa.array(key), pa.array(cut_out, pa.binary())], names=["h", "doc_id", "t", "lo", "key", "excerpt"])
         give_back()
 
-    excerpts = text.select("doc_id", "t", "k", "text").mapInArrow(take, "h long, doc_id long, t long, lo long, key long, excerpt binary")
-    cold, some_hot = reps.where(F.col("c") <= hot), not reps.where(F.col("c") > hot).isEmpty()
-    if some_hot:
-        excerpts = stored(spark, excerpts, "excerpts")
     order = ["h", "doc_id", "t", "lo"]
-    rows = excerpts.select(*order, "key", F.lit(None).cast("long").alias("m"), "excerpt")
-    if some_hot:
-        rows = rows.join(reps.where(F.col("c") > hot).select(F.col("h").alias("_h")).distinct(), F.col("h") == F.col("_h"), "left_anti")
-    rows = rows.union(cold.select(*order, "key", "m", F.lit(None).cast("binary").alias("excerpt")))
+    rows = text.mapInArrow(take, "h long, doc_id long, t long, lo long, key long, excerpt binary").select(*order, "key", F.lit(None).cast("long").alias("m"), "excerpt")
+    rows = rows.union(reps.select(*order, "key", "m", F.lit(None).cast("binary").alias("excerpt")))
     flags = rows.repartition("h").sortWithinPartitions(*order).mapInArrow(_compare_sorted(length), "h long, key long, other array<int>, later array<int>")
-    if some_hot:
-        own = reps.where(F.col("c") > hot).select(*(F.col(x).alias(f"_{x}") for x in (*order, "key")))
-        match = (F.col("h") == F.col("_h")) & (F.col("key") == F.col("_key")) & (F.col("t") == F.col("_t")) & (F.col("lo") == F.col("_lo")) & F.col("doc_id").eqNullSafe(F.col("_doc_id"))
-        places = excerpts.join(own, match, "left_semi").dropDuplicates(["h", "key"]).mapInArrow(_places(length), "h long, key long, doc_id long, t long, lo long, place int, string binary")
-        place = F.struct("doc_id", "t", "lo")
-        again = places.groupBy("string").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1").withColumnRenamed("string", "_string")
-        again = places.join(again, F.col("string") == F.col("_string")).groupBy("h", "key").agg(F.collect_set("place").alias("places"), F.collect_set(F.when(~place.eqNullSafe(F.col("first")), F.col("place"))).alias("later"))
-        flags = flags.union(again.mapInArrow(_join_places, "h long, key long, other array<int>, later array<int>"))
-
-    flags = stored(spark, flags, "flags").withColumnsRenamed({"h": "_h", "key": "_k"})
-    classes = classes.where("m > 1 or c > 1").join(flags.hint("merge"), (F.col("h") == F.col("_h")) & (F.col("key") == F.col("_k")), "left").select("h", "key", "m", "first", "other", "later")
-    members = found.withColumnsRenamed({"h": "_h", "key": "_k"}).join(classes.hint("merge"), (F.col("h") == F.col("_h")) & (F.col("key") == F.col("_k")))
+
+    flags = flags.withColumnsRenamed({"h": "_h", "key": "_k"})
+    match = (F.col("h") == F.col("_h")) & (F.col("key") == F.col("_k"))
+    results = stored(spark, classes.join(flags.hint("merge"), match, "left").select(F.col("h").alias("_h"), F.col("key").alias("_k"), "m", "first", "other", "later"), "results")
+    heavy = max(HEAVY, (results.agg(F.sum("m")).first()[0] or 0) // HEAVY)
+    few = results.where(F.col("m") > heavy)
+    if few.isEmpty():
+        members = found.join(results.hint("merge"), match)
+    else:
+        light = found.join(F.broadcast(few.select("_h", "_k")), match, "left_anti")
+        members = light.join(results.where(F.col("m") <= heavy).hint("merge"), match).union(found.join(F.broadcast(few), match))
     whole = F.array(F.lit(0), F.col("n"))
     if keep == "none":
         goes = F.when(F.col("m") > 1, whole).otherwise(F.col("other"))
     else:
         goes = F.when(F.struct("doc_id", "t", "lo").eqNullSafe(F.col("first")), F.col("later")).otherwise(whole)
-    own = members.select(F.col("doc_id").alias("_vx_d"), F.col("t").alias("_vx_t"), "lo", goes.alias("ranges")).where("size(ranges) > 0")
-    return own.groupBy("_vx_d", "_vx_t").agg(F.collect_set(F.struct("lo", "ranges")).alias("_vx_own"))
+    own = members.select("doc_id", "t", "lo", goes.alias("ranges")).where("size(ranges) > 0").mapInArrow(_merge_places, "_vx_d long, _vx_t long, own array<int>")
+    return own.groupBy("_vx_d", "_vx_t").agg(F.collect_list("own").alias("_vx_own"))
 
 
-def runs_of(own: list | None, size: int, length: int) -> list[tuple[int, int]]:
-    """Maximal runs [a, b) of the bytes covered by the strings of the given places."""
+def _covered(own: list | None, size: int, more: int) -> np.ndarray:
+    """Which of `size` bytes or places lie in one of the ranges, each longer by `more`."""
     ends = np.zeros(size + 1, np.int32)
     for x in own or ():
-        r = np.array(x["ranges"], np.int64) + x["lo"]
+        r = np.array(x, np.int64)
         np.add.at(ends, r[::2], 1)
-        np.add.at(ends, r[1::2] - 1 + length, -1)
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], (np.cumsum(ends[:size]) > 0).astype(np.int8), [0]))))
+        np.add.at(ends, r[1::2] + more, -1)
+    return np.cumsum(ends[:size]) > 0
+
+
+def runs_of(own: list | None, size: int, length: int) -> list[tuple[int, int]]:
+    """Maximal runs [a, b) of the bytes covered by the strings of the given places."""
+    edge = _ranges(_covered(own, size, length - 1))
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
@@ -388,12 +443,7 @@ def long_passages(own: list | None, raw: bytes, length: int, words: int, least:
 
     A passage is what the strings of consecutive places cover, so short repeats that only touch are not taken for one.
     """
-    places = np.zeros(len(raw) + 1, np.int32)
-    for x in own or ():
-        r = np.array(x["ranges"], np.int64) + x["lo"]
-        np.add.at(places, r[::2], 1)
-        np.add.at(places, r[1::2], -1)
-    edge = _ranges(np.cumsum(places) > 0)
+    edge = _ranges(_covered(own, len(raw), 0))
     out: list[tuple[int, int]] = []
     for a, b in zip(edge[::2].tolist(), (edge[1::2] - 1 + length).tolist()):
         if b - a >= least or len(raw[a:b].split()) > words:
@@ -424,29 +474,49 @@ def whole_characters(raw: bytes, runs: list[tuple[int, int]]) -> list[tuple[int,
     return out
 
 
-def _with_ranges(spark: SparkSession, docs: DataFrame, gone: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(documents that may lose bytes, with _vx_own; documents that cannot): only texts of the first are shuffled."""
+def _packed(some: Members, key: int, at: int):
+    """Rows whose key (a column) may be among the members, with a column of texts compressed."""
+
+    def run(parts):
+        codec = zstandard.ZstdCompressor(level=1)
+        for part in parts:
+            part = part.filter(pa.array(some(part.column(key).to_numpy())))
+            texts = [x if x is None else codec.compress(x) for x in part.column(at).cast(pa.binary()).to_pylist()]
+            yield part.set_column(at, part.schema.names[at], pa.array(texts, pa.binary()))
+
+    return run
+
+
+def _unpacked(texts: pa.Array) -> list[bytes | None]:
+    codec = zstandard.ZstdDecompressor()
+    return [x if x is None else codec.decompress(x) for x in texts.to_pylist()]
+
+
+def _with_ranges(spark: SparkSession, docs: DataFrame, gone: DataFrame, names: list[str], at: int) -> tuple[DataFrame, DataFrame]:
+    """(documents that may lose bytes, with compressed texts and _vx_own; documents that cannot): only the first are shuffled."""
     gone = cut(spark, gone)
     some = Members(spark, gone.select(F.xxhash64("_vx_t", "_vx_d")))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.withColumn("_vx_t1", F.xxhash64(text)).withColumn("_vx_k", F.xxhash64("_vx_t1", F.col("doc_id").cast("long")))
-    at = len(docs.columns) + 1
-    inside, outside = (rows.mapInArrow(_only(some, at, x), rows.schema) for x in (True, False))
+    key = len(docs.columns) + 1
+    outside = rows.mapInArrow(_only(some, key, False), rows.schema)
+    inside = rows.mapInArrow(_packed(some, key, at), T.StructType([T.StructField(f.name, T.BinaryType() if i == at else f.dataType) for i, f in enumerate(rows.schema.fields)]))
     inside = inside.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_vx_d")) & (F.col("_vx_t1") == F.col("_vx_t")), "left")
     cols = [f"`{n}`" for n in names]
     return inside.select(*cols, "_vx_own"), outside.select(*cols)
 
 
-def kept_bytes(spark: SparkSession, docs: DataFrame, length: int = LENGTH, keep: str = "none", hot: int = HOT) -> DataFrame:
+def kept_bytes(spark: SparkSession, docs: DataFrame, length: int = LENGTH, keep: str = "none", group: int = GROUP) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    inside, outside = _with_ranges(spark, docs, removed_ranges(spark, docs, length, keep, hot), ["doc_id", "text"])
+    inside, outside = _with_ranges(spark, docs, removed_ranges(spark, docs, length, keep, group), ["doc_id", "text"], 1)
 
     def run(parts):
-        for part in (x for whole in parts for x in slices(whole, 1)):
+        for part in (x for whole in parts for x in slices(whole, 1, 1 << 20 if whole.num_columns > 2 else 4 << 20)):
+            packed = part.num_columns > 2
+            raws = _unpacked(part.column(1)) if packed else part.column(1).cast(pa.binary()).to_pylist()
             out = []
-            owns = part.column(2).to_pylist() if part.num_columns > 2 else [None] * part.num_rows
-            for raw, own in zip(part.column(1).cast(pa.binary()).to_pylist(), owns):
+            for raw, own in zip(raws, part.column(2).to_pylist() if packed else [None] * len(raws)):
                 runs = runs_of(own, len(raw), length) if own else []
                 out.append((len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(without(raw, runs)).hexdigest()))
             n, gone, spans, digest = zip(*out) if out else ((), (), (), ())
@@ -457,24 +527,25 @@ def kept_bytes(spark: SparkSession, docs: DataFrame, length: int = LENGTH, keep:
     return inside.mapInArrow(run, kind).union(outside.mapInArrow(run, kind))
 
 
-def dedup_text(spark: SparkSession, docs: DataFrame, length: int = LENGTH, keep: str = "first", hot: int = HOT, words: int | None = None) -> DataFrame:
+def dedup_text(spark: SparkSession, docs: DataFrame, length: int = LENGTH, keep: str = "first", group: int = GROUP, words: int | None = None) -> DataFrame:
     """docs with repeated passages cut out of `text`; characters stay whole, and all other columns pass through.
 
     With `words`, repeats of `length` bytes only go if they belong to a passage of over so many words, or of LENGTH bytes.
     """
     names, at = docs.columns, docs.columns.index("text")
     docs = docs.select(*(F.col(f"`{n}`").cast("string").alias(n) if n == "text" else f"`{n}`" for n in names))
-    inside, outside = _with_ranges(spark, docs, removed_ranges(spark, docs, length, keep, hot), names)
+    inside, outside = _with_ranges(spark, docs, removed_ranges(spark, docs, length, keep, group), names, at)
 
     def run(parts):
-        for part in (x for whole in parts for x in slices(whole, at)):
-            out = part.column(at).to_pylist()
+        for part in (x for whole in parts for x in slices(whole, at, 1 << 20)):
+            out = _unpacked(part.column(at))
             for i, own in enumerate(part.column(len(names)).to_pylist()):
                 if own:
-                    raw = out[i].encode()
+                    raw = out[i]
                     runs = runs_of(own, len(raw), length) if words is None else long_passages(own, raw, length, words)
-                    out[i] = without(raw, whole_characters(raw, runs)).decode()
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else part.column(i) for i in range(len(names))], names=names)
+                    out[i] = without(raw, whole_characters(raw, runs))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string()) if i == at else part.column(i) for i in range(len(names))], names=names)
+        give_back()
 
     return inside.mapInArrow(run, docs.schema).union(outside)
 
