@@ -84,3 +84,27 @@ def test_run(spark, stages):
 
 def test_threshold():
     assert quality.THRESHOLD == 0.3
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_bear_odd_rows(spark, k):
+    """Null, empty and very long texts, null and repeated ids, repeated rows, columns with clashing names; and an empty table."""
+    d = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{d}/benchmark.parquet").orderBy("item_id").first().text
+    prose = " ".join(f"word{i * i % 977}" for i in range(120))
+    rows = [(1, prose), (1, prose), (2, None), (3, ""), (None, "a null id"), (4, " ".join(f"{i}" for i in range(30_000))), (5, f"{prose} and then {item}"), (5, "another text of this id"), (6, "short")]
+    extra = "doc_id long, text string, score double, _found long, h long, lo long, n long, key string, component long, n_chars long"
+    docs = spark.createDataFrame([(i, t, 0.5, 1, 2, 3, 4, "x", 5, len(t or "")) for i, t in rows], extra)
+    name, stage = corpus_pipeline.STAGES[k]
+    got = stage(spark, docs, d)
+    out = got.collect()
+    assert set(docs.columns) <= set(got.columns) and all((r.score, r._found, r.h, r.lo, r.n, r.key, r.component) == (0.5, 1, 2, 3, 4, "x", 5) for r in out)
+    if name == "simhash near-dedup":
+        assert sorted((r.doc_id or 0, r.text or "") for r in out) == sorted({(i or 0, t or "") for i, t in rows if i != 3})  # of two empty texts one stays
+    if name == "suffix-array dedup":
+        assert len(out) == len(rows) and all(r.n_chars == len(r.text or "") for r in out if r.text is not None)
+    if name == "benchmark decontamination":
+        assert sorted(map(str, ((r.doc_id, r.text) for r in out))) == sorted(map(str, (x for x in rows if x[1] is None or item not in x[1])))
+    if name == "byte-level BPE":
+        assert len(out) == len(rows) and all(r.n_tokens == len(r.input_ids) and bool(r.text) == bool(r.input_ids) for r in out)
+    assert stage(spark, docs.limit(0), d).count() == 0
