@@ -15,7 +15,8 @@ are bytes, carried as one character for each byte.
 
 Only distinct words are encoded, and a memo of at most CACHE words and CACHED bytes lives as long as a Python worker; it is
 emptied before the next run of texts when it has outgrown either. Texts are taken in
-runs of about 4 MB, so memory depends on the longest text and not on the partition.
+runs of about 4 MB, and their new words go through the recursion in runs of AT_ONCE bytes, so memory depends on the longest text
+and not on the partition.
 
 Defined cases: null text is empty; an empty text has no ids and decodes to nothing; repeated rows stay; a null doc_id stays;
 an empty table gives an empty result; further columns are ignored (`encode` and `decode`) or kept (`with_ids`).
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from voxloom.llm.common import batches, give_back, slices, table
 
-LONG, CACHE, AT_ONCE, AT_TIME = 48, 900_000, 48_000, 4 << 20
+LONG, CACHE, AT_ONCE, AT_TIME = 48, 900_000, 1 << 18, 4 << 20
 WHOLE, BLOCK, SEAM, CACHED = 1024, 256, 8, 64 << 20
 #: Words that with_ids() keeps while it works on a partition, beside a pipeline's other stages in the same workers.
 FEW = 150_000
@@ -107,6 +108,7 @@ class Codec:
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         self._fill("merges", {"a": a, "b": b, "rank": r, "safe": ~np.isin(r, unsafe)})
         self._fill("vocab", {"id": np.array(list(self.ranks.values()), np.int32), "piece": [k.decode("latin-1") for k in self.ranks]})
+        self.naming = True
         self._forget()
 
     def _forget(self) -> None:
@@ -171,8 +173,8 @@ class Codec:
             else:
                 todo[len(w) > LONG].append(i)
         for long, own in todo.items():
-            for k in range(0, len(own), AT_ONCE):
-                part = own[k : k + AT_ONCE]
+            for k, end in batches([words[i] for i in own], AT_ONCE):
+                part = own[k:end]
                 lens = np.array([len(words[i]) for i in part])
                 pos = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
                 self._fill("todo", {"w": np.repeat(np.arange(len(part), dtype=np.int32), lens), "pos": pos.astype(np.int32), "tok": self.byte[np.frombuffer(b"".join(words[i] for i in part), np.uint8)]})
@@ -186,18 +188,22 @@ class Codec:
 
     def _learn(self, new: list[str]) -> None:
         ids = self.words([w.encode("utf-8", "surrogatepass") for w in new])
-        self.memo.update(zip(new, range(len(self.named), len(self.named) + len(new))))
+        self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new))))
         self.held += sum(map(len, new)) + 10 * sum(map(len, ids))
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(sizes) - sizes))
         self.size = np.concatenate((self.size, sizes))
         self.flat = np.concatenate((self.flat, *ids))
-        text = list(map(str, range(len(self.ranks))))
-        self.named += [",".join([text[i] for i in x.tolist()]) for x in ids]
-
-    def encode(self, texts: list[str], cache: int | None = None) -> tuple[list[np.ndarray], list[str]]:
-        """For each text its ids, as an array and as decimal numbers joined by commas."""
-        if len(self.named) > (CACHE if cache is None else cache) or self.held > CACHED:
+        if self.naming:
+            text = list(map(str, range(len(self.ranks))))
+            self.named += [",".join([text[i] for i in x.tolist()]) for x in ids]
+
+    def encode(self, texts: list[str], cache: int | None = None, naming: bool = True) -> tuple[list[np.ndarray], list[str]]:
+        """For each text its ids, as an array and (if `naming`, else nothing) as decimal numbers joined by commas."""
+        if naming != self.naming:
+            self.naming = naming
+            self._forget()
+        if len(self.memo) > (CACHE if cache is None else cache) or self.held > CACHED:
             self._forget()
         words = [self.cut.findall(x) for x in texts]
         found = [list(map(self.memo.get, x)) for x in words]
@@ -213,7 +219,7 @@ class Codec:
         ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[at] - ends + sizes, sizes)]
         bounds = np.concatenate(([0], ends))[np.cumsum(np.concatenate(([0], counts)))]
         named = self.named
-        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])], [",".join([named[i] for i in own]) for own in found]
+        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])], [",".join([named[i] for i in own]) for own in found] if naming else []
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each list of ids; an unknown id is an error."""
@@ -300,8 +306,8 @@ def with_ids(docs: DataFrame, path: str, pattern: str, to: str = "input_ids") ->
 
     def run(parts):
         own = codec(path, pattern)
-        for part in (x for whole in parts for x in slices(whole, at, AT_TIME // 2)):
-            ids, _ = own.encode(pc.fill_null(part.column(at), "").to_pylist(), FEW)
+        for part in (x for whole in parts for x in slices(whole, at, AT_TIME // 8)):
+            ids, _ = own.encode(pc.fill_null(part.column(at), "").to_pylist(), FEW, naming=False)
             ends = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
             yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), pa.array(np.diff(ends), pa.int64()), lists], names=[*names, "n_tokens", to])
