@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import batches, give_back, slices, table
+from voxloom.llm.common import batches, bounded, give_back, slices, table
 
 LONG, CACHE, AT_ONCE, AT_TIME = 48, 900_000, 1 << 18, 4 << 20
 WHOLE, BLOCK, SEAM, CACHED = 1024, 256, 8, 64 << 20
@@ -300,6 +300,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def with_ids(docs: DataFrame, path: str, pattern: str, to: str = "input_ids") -> DataFrame:
     """docs with a column of token ids and n_tokens; all other columns pass through as they are."""
+    bounded(docs.sparkSession)
     at, kept = docs.columns.index("text"), [f for f in docs.schema.fields if f.name not in (to, "n_tokens")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_tokens long", f"`{to}` array<int>"])
     names = [f.name for f in kept]

@@ -14,7 +14,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of the Arrow batches that Python workers are sent, where the session sets none: rows alone do not bound long texts.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
+
+
+def bounded(spark: SparkSession) -> None:
+    if spark.conf.get(BATCH[0], None) is None:
+        spark.conf.set(BATCH[0], str(BATCH[1]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,6 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Cut lineage by a reliable checkpoint in the shared folder."""
+    bounded(spark)
     shared_dir(spark)
     return df.checkpoint()
 
@@ -46,6 +57,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """df written as a Parquet table in the shared folder and read again: cuts lineage, and is smaller than a checkpoint."""
+    bounded(spark)
     at = new_path(spark, name)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
