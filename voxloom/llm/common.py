@@ -82,6 +82,11 @@ class Members:
         at = keys & (self.size - 1)
         return (self.sent.value[at >> 3] >> (at & 7)).astype(np.uint8) & 1 == 1
 
+    def release(self) -> None:
+        """Drop a worker's copy, which it would hold while idle; a later use reads the executor's file again."""
+        if getattr(self.sent, "_path", None):
+            vars(self.sent).pop("_value", None)
+
 
 #: Rows of a key, and at most so many keys, from which `meet` broadcasts its row.
 HEAVY = 10_000

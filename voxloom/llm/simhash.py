@@ -249,6 +249,7 @@ def verified_links(spark: SparkSession, rows: DataFrame, classes: DataFrame, gro
             part = part.filter(pa.array(held(part.column(3).to_numpy())))
             sets = [np.unique(_shingle_hashes(x.as_py(), k)).tobytes() for x in part.column(4)]
             yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sets, pa.binary())], names=["doc_id", "c", "c2", "h"])
+        held.release()
         give_back()
 
     def compare(parts):

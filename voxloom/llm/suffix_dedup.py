@@ -337,6 +337,8 @@ def _only(members: Members, at: int, inside: bool):
         for part in parts:
             keep = members(part.column(at).to_numpy())
             yield part.filter(pa.array(keep if inside else ~keep))
+        members.release()
+        give_back()
 
     return run
 
@@ -357,6 +359,8 @@ def removed_ranges(spark: SparkSession, docs: DataFrame, length: int = LENGTH, k
                     for own, lo, n, h, key in excerpt_rows(texts, length, crowded, True):
                         at = pa.array(own)
                         yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(lo), pa.array(n.astype(np.int32)), pa.array(h), pa.array(key)], names=["doc_id", "t", "lo", "n", "h", "key"])
+            for x in (*crowded, *([] if among is None else [among])):
+                x.release()
             give_back()
 
         return run
@@ -396,6 +400,8 @@ def removed_ranges(spark: SparkSession, docs: DataFrame, length: int = LENGTH, k
                 cut_out = [texts[i][a : a + k - 1 + length] for i, a, k in zip(own.tolist(), lo.tolist(), n.tolist())]
                 at = pa.array(own)
                 yield pa.RecordBatch.from_arrays([pa.array(h), part.column(0).take(at), part.column(1).take(at), pa.array(lo), pa.array(key), pa.array(cut_out, pa.binary())], names=["h", "doc_id", "t", "lo", "key", "excerpt"])
+        for x in (*crowded, held, taken):
+            x.release()
         give_back()
 
     order = ["h", "doc_id", "t", "lo"]
