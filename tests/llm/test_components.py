@@ -69,3 +69,21 @@ def test_bucket_blocks_count_each_pair_once(spark):
         assert got == {i: n for i, n in want.items() if n}
         edges = [(r.c, r.r) for r in found.collect() if r.c != r.r]
         assert roots(edges) == roots([(i, j) for i in range(60) for j in range(60) if i != j and near[i, j] and meet[i, j]])
+
+
+def test_bucket_rows_are_shuffled_once_without_codes(spark, monkeypatch):
+    """Sizes of many buckets are no join that shuffles rows and codes again, and large buckets still meet as a whole."""
+    from voxloom.llm import buckets
+
+    monkeypatch.setattr(buckets, "SMALL", 0)
+    rng = np.random.default_rng(7)
+    rows = [(i, i, 1, float(rng.integers(0, 4)), [0, int(rng.integers(0, 9))]) for i in range(60)]
+    df = spark.createDataFrame(rows, "c long, c2 long, m long, v double, codes array<int>")
+    found = bucket_links(spark, df, 18, lambda c: c.to_numpy(), lambda a, b: a[:, None] == b[None, :], 8, counted=False)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString() and "slice" not in plan
+    got = roots(found.where("c != r").select("c", "r").collect())
+    want = {}
+    for c, _, _, v, _ in rows:
+        want.setdefault(v, []).append(c)
+    assert {frozenset(k for k in got if got[k] == r) for r in set(got.values())} == {frozenset(x) for x in want.values() if len(x) > 1}

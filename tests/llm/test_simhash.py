@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from voxloom.llm import simhash
 from voxloom.llm.components import connected_components
 from voxloom.llm.simhash import block_links, fingerprint, keep_one, near_duplicates, op10_simhash, route, similar_forest, vantage_tree, verified_links
 
@@ -192,3 +193,19 @@ def test_components_through_null_ids(spark, monkeypatch):
     monkeypatch.setattr("voxloom.llm.simhash.fingerprints", lambda docs, k: prints)
     got = {(r.doc_id, int(r.fingerprint, 16)): r.component_id for r in near_duplicates(spark, df).collect()}
     assert got == {(8, 0): 5, (None, 3): 5, (5, 15): 5, (None, made["d"]): None}
+
+
+def test_keep_one_searches_the_tree(spark, monkeypatch):
+    """Near texts whose fingerprints the tree links are found whatever the tables miss, and rounds of tables find the others."""
+    rng = random.Random(21)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(400)] for _ in range(30)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)] + [(100 + i, " ".join([*w[:-1], "end"])) for i, w in enumerate(base)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    first = lambda t: simhash.wide_signs(np.unique(simhash._shingle_hashes(t, 5)))[:8].view("<u8")[0]
+    near = {i for i in range(30) if np.bitwise_count(first(rows[i][1]) ^ first(rows[30 + i][1])) <= 2}
+    assert len(near) > 20
+    monkeypatch.setattr(simhash, "ROUND", 5)
+    assert {r.doc_id for r in keep_one(spark, df).collect()} == set(range(30))
+    none = lambda spark, units, *_, **__: units.selectExpr("c", "c AS r").limit(0)
+    monkeypatch.setattr(simhash, "bucket_links", none)
+    assert {r.doc_id for r in keep_one(spark, df).collect()} == set(range(30)) | {100 + i for i in range(30) if i not in near}

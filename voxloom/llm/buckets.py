@@ -33,18 +33,22 @@ def bucket_links(spark: SparkSession, units: DataFrame, buckets: int, members, n
 
     units: c, c2 (long, the class), m (its members), v (what is compared), codes array<int> (its bucket in each table).
     members(column) makes the matrix of a column of v; near(a, b) says which rows of two matrices are linked; buckets is an
-    upper bound of the number of buckets, whose sizes are broadcast if it is small. With counted=False a pair that meets in
-    several tables counts in each of them, and the codes that tell this are not shuffled.
+    upper bound of the number of buckets, whose sizes are broadcast if it is small; else only those of buckets of over a block
+    are, which are the `block`-th part of the placed rows at most, so rows are shuffled once. With counted=False a pair that
+    meets in several tables counts in each of them, and the codes that tell this are not shuffled.
 
     Block i of a bucket meets block j >= i, and each pair of blocks is a group, so a large bucket is spread over tasks. Rows
     are sorted by group and streamed; no Python call per group and no list of pairs leaves a task.
     """
-    placed = units.select("c", "c2", "m", "v", "codes", F.posexplode("codes").alias("t", "code"))
+    placed = units.select("c", "c2", "m", "v", ("codes" if counted else F.array().cast("array<int>").alias("codes")), F.posexplode("codes").alias("t", "code"))
     sizes = placed.groupBy("t", "code").agg(F.count("*").alias("n")).where("n > 1").select("t", "code", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    placed = placed.join(F.broadcast(sizes) if buckets <= SMALL else sizes, ["t", "code"])
+    if buckets <= SMALL:
+        placed = placed.join(F.broadcast(sizes), ["t", "code"])
+    else:
+        placed = placed.join(F.broadcast(sizes.where("blocks > 1")), ["t", "code"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("c2", "c"), F.col("blocks")).cast("int")
     met = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("t", "code", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "c2", "m", "v", F.slice("codes", F.lit(1), F.col("t") if counted else F.lit(0)).alias("codes"))
+    met = met.select("t", "code", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "c2", "m", "v", F.slice("codes", F.lit(1), F.col("t")).alias("codes") if counted else "codes")
 
     def compare(key, side, v, code, m, c, c2):
         t, _, i, j = key
@@ -91,4 +95,5 @@ def bucket_links(spark: SparkSession, units: DataFrame, buckets: int, members, n
         give_back()
 
     met = met.repartition("t", "code", "i", "j").sortWithinPartitions("t", "code", "i", "j")
-    return cut(spark, met.mapInArrow(compare_sorted, "c long, c2 long, links long, r long, r2 long"))
+    found = met.mapInArrow(compare_sorted, "c long, c2 long, links long, r long, r2 long")
+    return cut(spark, found) if counted else found

@@ -16,6 +16,7 @@ another member has an id; an empty table gives an empty result; further columns
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -25,13 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.llm.buckets import bucket_links
-from voxloom.llm.common import Members, cut, give_back, table
+from voxloom.llm.common import Members, cut, drop_shuffles, give_back, table
 from voxloom.llm.components import connected_components, forest
 
 #: Fingerprints on which the tree is fitted, at most; fingerprints in a block, about.
 SAMPLE, BLOCK = 8192, 4096
 #: Bits of the fingerprints by which keep_one() finds candidates; texts and bytes of shingles in a block that it verifies.
 WIDE, TEXTS, BYTES = 512, 512, 8 << 20
+#: Hash tables that keep_one() shuffles at once: disk holds the rows of so many, however many tables there are.
+ROUND = 12
 #: Greatest chance that a bit of two sets with a Jaccard similarity of 0.8 or more differs: sets of 4 and 5 shingles; large sets
 #: of one size have 0.152.
 APART = 3 / 16
@@ -273,14 +276,25 @@ def verified_links(spark: SparkSession, rows: DataFrame, classes: DataFrame, gro
     return met.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(compare, "a long, b long")
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5, similarity: float = 0.8, missed: float = 0.01) -> DataFrame:
+def tree_links(spark: SparkSession, classes: DataFrame, reach: int) -> DataFrame:
+    """(c, r): texts whose first 64 fingerprint bits (of v) differ in `reach` bits at most, as a forest, found through the tree."""
+    word = F.conv(F.hex(F.substring("v", 1, 8)), 16, -10).cast("long")  # in any order of bytes: distances stay
+    own = cut(spark, classes.select("c", word.alias("fp")))
+    prints = cut(spark, own.groupBy("fp").agg(F.min("c").alias("rep")))
+    equal = own.join(prints, "fp").where("c != rep").select("c", F.col("rep").alias("r"))
+    return cut(spark, links(spark, prints, reach).toDF("c", "r").union(equal))
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5, similarity: float = 0.8, missed: float = 0.01, reach: int = 2) -> DataFrame:
     """docs without near-duplicates: of each group the row with the smallest doc_id stays, with all its columns.
 
-    Texts are linked whose sets of k-word shingles have the given Jaccard similarity or more, by the sets themselves. WIDE-bit
-    fingerprints only find the candidates: up to wide_limit() bits apart, which is 3 s.d. more than a pair at the limit is
-    expected to be (APART is for 0.8; a lower similarity gets the angle between its sets). Such pairs are many bits apart (about
-    10 of 64), where distances to vantage points no longer tell shards apart, so candidates meet in tables of sampled fingerprint
-    bits; a pair at the limit shares no bucket with chance `missed` at most. Groups of candidates are then compared in full.
+    Texts are linked whose sets of k-word shingles have the given Jaccard similarity or more, by the sets themselves.
+    Fingerprints only find the candidates, in two ways. The first 64 bits are linked through the vantage-point tree at `reach`
+    bits, which loses no such pair. Pairs at the limit are about 10 of 64 bits apart, where distances to vantage points no longer
+    tell leaves apart, so the rest meet in tables of sampled bits of WIDE-bit fingerprints: up to wide_limit() bits apart, which
+    is 3 s.d. more than a pair at the limit is expected to be (APART is for 0.8; a lower similarity gets the angle between its
+    sets); a pair at the limit shares no bucket with chance `missed` at most. ROUND tables are shuffled at once and their files
+    given back before the next. Groups of candidates are then compared in full.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     c, c2 = F.xxhash64(text), F.xxhash64(F.lit(1), text)
@@ -304,12 +318,15 @@ def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5, similarity: float
     tables = next(t for t in range(1, 10_000) if np.mean((1 - (1 - share) ** bits) ** t) <= missed)
     picked = np.array([np.random.default_rng([5, t]).permutation(WIDE)[:bits] for t in range(tables)])
 
-    def coded(parts):
-        for part in parts:
-            flags = np.unpackbits(np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8).reshape(-1, WIDE // 8), axis=1, bitorder="little")
-            own = (flags[:, picked].astype(np.int32) << np.arange(bits, dtype=np.int32)).sum(axis=2, dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * tables, pa.int32()), pa.array(own.ravel()))
-            yield pa.RecordBatch.from_arrays([*part.columns, lists], names=["c", "c2", "m", "v", "codes"])
+    def coded(own):
+        def run(parts):
+            for part in parts:
+                flags = np.unpackbits(np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8).reshape(-1, WIDE // 8), axis=1, bitorder="little")
+                codes = (flags[:, own].astype(np.int32) << np.arange(bits, dtype=np.int32)).sum(axis=2, dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1) * len(own), pa.int32()), pa.array(codes.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=["c", "c2", "m", "v", "codes"])
+
+        return run
 
     def members(column: pa.Array) -> np.ndarray:
         return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WIDE // 64)
@@ -321,9 +338,14 @@ def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5, similarity: float
         return apart <= limit
 
     classes = cut(spark, classes)
-    units = classes.select("c", "c2", "m", "v").mapInArrow(coded, "c long, c2 long, m long, v binary, codes array<int>")
-    found = bucket_links(spark, units, tables << bits, members, near, counted=False)
-    groups = connected_components(spark, found.where("c != r").select("c", "r"))  # 64 bits name a text here
+    edges = [tree_links(spark, classes, reach)]
+    for t in range(0, tables, ROUND):
+        own = picked[t : t + ROUND]
+        units = classes.select("c", "c2", "m", "v").mapInArrow(coded(own), "c long, c2 long, m long, v binary, codes array<int>")
+        found = bucket_links(spark, units, len(own) << bits, members, near, counted=False)
+        edges.append(cut(spark, found.where("c != r").select("c", "r").distinct()))  # 64 bits name a text here
+        drop_shuffles(spark)
+    groups = connected_components(spark, functools.reduce(DataFrame.union, edges))
     again = not prints.groupBy("doc_id", "c", "c2").count().where("count > 1").isEmpty()
     joined = connected_components(spark, verified_links(spark, rows, classes, groups, k, similarity, again))
     named = classes.select("c", "c2", "rep").join(joined, F.col("c") == F.col("id"), "left").withColumn("to", F.coalesce("component", "c"))
