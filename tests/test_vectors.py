@@ -96,3 +96,38 @@ def test_greedy_sees_every_cluster(spark):
             done |= {(m, "c", c), (m, "n", n)}
             want.add((m, c, n))
     assert {(r.meeting, r.cluster, r.name) for r in got} == want
+
+
+@pytest.mark.parametrize("side", [1024, 16])
+def test_decide_without_the_matrix(monkeypatch, side):
+    """Cosines in blocks decide as the whole matrix does, and no block is larger than asked for."""
+    monkeypatch.setattr(V, "SIDE", side)
+    monkeypatch.setattr(V, "SORTED", 4 * side)
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 3, 40, 120):
+        v = rng.normal(size=(max(1, n // 3), 16))[rng.integers(0, max(1, n // 3), n)] + 0.2 * rng.normal(size=(n, 16))
+        v /= np.linalg.norm(v, axis=1)[:, None]
+        support = dict.fromkeys(range(n), 0.1)
+        for limits in (V._SOFT, {**V._SOFT, "floor": -1.0, "profile": 0.5}, {}):
+            merged, drop = V.decide(list(range(n)), V.Cosines(v), support, **limits)
+            assert (sorted(map(sorted, merged)), sorted(drop)) == slow_decide(list(range(n)), v @ v.T, support, **limits)
+    m = V.Cosines(v)
+    assert max(x.size for *_, x, _ in m.blocks()) <= side * side
+    top = np.sort((v @ v.T)[np.triu_indices(n, 1)])[::-1]
+    k = int(np.argmax(top[:-1] - top[1:]))
+    assert np.allclose(m.widest_gap(), (top[k], top[k + 1]))
+
+
+def test_profiles_and_cohesion_in_blocks(spark):
+    """Blocks give what joins of all pairs give, and meetings without a matrix still go through the joins."""
+    c = V.clusters(spark, D)
+    plain, odd = V.by_form(c)
+    assert odd.isEmpty() and plain.count() == c.count()
+    key = lambda df: sorted((r.meeting, r.a, r.b, round(r.apart, 3)) for r in df.collect())
+    assert key(V.apart_blocks(plain, 0.1, 7)) == key(V.apart_joined(c, 0.1)) != []
+    near = {(r.meeting, r.cluster): r.cos for r in V.max_neighbor(V.pairwise(c)).collect()}
+    got = {(r.meeting, r.cluster): r.cos for r in V.nearest_in_meeting(plain).collect()}
+    assert got.keys() == near.keys() and all(abs(got[k] - near[k]) < 1e-12 for k in got)
+    some = spark.createDataFrame([(1, 1, [1.0, 0.0]), (1, 1, [0.0, 1.0]), (2, 3, None), (3, 4, [1.0, float("nan")]), (4, 5, [1.0, 0.0])], "meeting int, cluster long, v array<double>")
+    plain, odd = V.by_form(some)
+    assert {r.meeting for r in plain.collect()} == {4} and odd.count() == 4
