@@ -65,3 +65,38 @@ def test_every_name(spark, late):
             done.update(own)
             want |= dict.fromkeys(own, max(own, key=len))
     assert rows == want
+
+
+def test_restated_against_all_pairs():
+    import random
+
+    from voxloom.operators.sequences import restated
+
+    rng = random.Random(6)
+    for n in (0, 1, 30, 90):
+        points = [(rng.randrange(n), sorted({rng.choice("abcdefghijkl") for _ in range(rng.randrange(14))})) for _ in range(n)]
+        alike = lambda a, b: len({*a} & {*b}) >= 3 and 100 * len({*a} & {*b}) >= 85 * max(len(a), len(b))
+        assert restated(points) == sorted({p for p, a in points if any(q < p and alike(a, b) for q, b in points)})
+
+
+def test_restatement_shuffles_no_text(spark, late, tmp_path):
+    """Rows are folded where they are, and rows of one id still restate each other."""
+    spark.createDataFrame([(1, "x\nbudget approval meeting schedule", "s"), (1, "budget approval meeting schedule\ny", "s"), (None, "a", "s"), (2, None, "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [(r.doc_id, r.pos) for r in registry.QUERIES["win_restatement"](spark, str(tmp_path)).collect()] == [(1, 1)]
+    plan = registry.QUERIES["win_restatement"](spark, late)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan and "Join" not in plan and "MapInPandas" in plan
+
+
+def test_likeness_is_the_best_of_all(spark):
+    import random
+
+    from voxloom.operators import minutes as M
+
+    rng, keys = random.Random(5), M.term_keys(spark, M._TERMS)
+    words = ["".join(rng.choice("aeionkfrthKTO") for _ in range(rng.randrange(4, 12))) for _ in range(300)] + [t[:i] + "e" + t[i:] for t in M._TERMS for i in range(len(t))]
+    find, done = M.Likeness(keys, 0.7), 0
+    for w in words:
+        want = max(((M.alike(w, t, w[:3].lower(), keys[t]), t) for t in M._TERMS), key=lambda x: x[0])
+        assert find(w, w[:3].lower()) == ((want[1], want[0]) if want[0] >= 0.7 else (None, None))
+        done += want[0] >= 0.7
+    assert done > 20
