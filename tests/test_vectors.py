@@ -131,3 +131,13 @@ def test_profiles_and_cohesion_in_blocks(spark):
     some = spark.createDataFrame([(1, 1, [1.0, 0.0]), (1, 1, [0.0, 1.0]), (2, 3, None), (3, 4, [1.0, float("nan")]), (4, 5, [1.0, 0.0])], "meeting int, cluster long, v array<double>")
     plain, odd = V.by_form(some)
     assert {r.meeting for r in plain.collect()} == {4} and odd.count() == 4
+
+
+def test_rounded_keeps_the_sign_of_zero(spark):
+    """As DuckDB's round(), which the SQL of the cosine queries uses."""
+    import duckdb
+
+    xs = [-0.00003, 0.00003, -0.0, 0.0, -0.00005, 0.12346, -1.5, None]
+    got = [r.x for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").orderBy("i").select(V.rounded("x", 4).alias("x")).collect()]
+    want = [duckdb.execute("SELECT round(?::DOUBLE, 4)", [x]).fetchone()[0] for x in xs]
+    assert [repr(x) for x in got] == [repr(x) for x in want]
