@@ -1,7 +1,9 @@
+import gc
 import hashlib
 import random
 import time
 
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -90,3 +92,18 @@ def test_frames(spark, library):
     assert kept.columns == ["text", "doc_id", "ids", "n_tokens", "input_ids"] and all(r.n_tokens == len(r.input_ids) and r.ids == "x" for r in kept.collect())
     empty = df.limit(0)
     assert bpe.digests(empty, PATH, PATTERN).collect() == bpe.encode(empty, PATH, PATTERN).collect() == bpe.with_ids(empty, PATH, PATTERN).collect() == []
+
+
+def test_with_ids_keeps_no_codec(spark, library, monkeypatch):
+    """A worker that has ended a partition holds no codec while it is idle or works for another stage."""
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    monkeypatch.setattr(bpe, "_CODECS", {})
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+    run = bpe.with_ids(docs, PATH, PATTERN)
+    alive = lambda: sum(isinstance(x, bpe.Codec) for x in gc.get_objects())
+    gc.collect()
+    before = alive()
+    for _ in range(2):
+        out = list(run(iter([pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["unwritable texts", None]})])))
+        assert [x.column("input_ids").to_pylist() for x in out] == [[library.encode_ordinary("unwritable texts"), []]]
+    assert alive() == before

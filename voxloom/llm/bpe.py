@@ -116,6 +116,11 @@ class Codec:
         self.held = 0
         self.flat, self.start, self.size, self.named = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), []
 
+    def close(self) -> None:
+        """Give back the tables and the memo; the codec is of no use afterwards."""
+        self.con.close()
+        self._forget()
+
     def _fill(self, name: str, columns: dict) -> None:
         self.con.register("given", pa.table(columns))
         self.con.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
@@ -299,20 +304,25 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def with_ids(docs: DataFrame, path: str, pattern: str, to: str = "input_ids") -> DataFrame:
-    """docs with a column of token ids and n_tokens; all other columns pass through as they are."""
+    """docs with a column of token ids and n_tokens; all other columns pass through as they are.
+
+    Each partition makes its own codec and closes it: a worker that kept one would hold it through a pipeline's other stages,
+    beside the workers that these start.
+    """
     bounded(docs.sparkSession)
     at, kept = docs.columns.index("text"), [f for f in docs.schema.fields if f.name not in (to, "n_tokens")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_tokens long", f"`{to}` array<int>"])
     names = [f.name for f in kept]
 
     def run(parts):
-        own = codec(path, pattern)
+        own = Codec(path, pattern)
         for part in (x for whole in parts for x in slices(whole, at, AT_TIME // 8)):
             ids, _ = own.encode(pc.fill_null(part.column(at), "").to_pylist(), FEW, naming=False)
             ends = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
             yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), pa.array(np.diff(ends), pa.int64()), lists], names=[*names, "n_tokens", to])
-        own._forget()
+        own.close()
+        del own
         give_back()
 
     return docs.mapInArrow(run, schema)
