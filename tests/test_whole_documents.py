@@ -3,6 +3,7 @@
 import difflib
 
 import pytest
+from pyspark.sql import functions as F
 
 from voxloom.plans import registry
 
@@ -100,3 +101,14 @@ def test_likeness_is_the_best_of_all(spark):
         assert find(w, w[:3].lower()) == ((want[1], want[0]) if want[0] >= 0.7 else (None, None))
         done += want[0] >= 0.7
     assert done > 20
+
+
+def test_key_letters(spark):
+    """The ranges of task_key are the complement of its letters, which Java matches slowly in several threads of one JVM."""
+    from voxloom.functions import text as T
+
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    key = T.task_key(F.col("x"))
+    assert "[^" not in spark.range(1).select(F.lit("x").alias("x")).select(key)._jdf.queryExecution().analyzed().toString()
+    low = spark.createDataFrame([(every,)], "x string").select(F.lower("x").alias("x"))
+    assert low.select(key == F.trim(F.regexp_replace("x", "[^a-z0-9 ]+", ""))).first()[0]
