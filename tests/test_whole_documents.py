@@ -112,3 +112,10 @@ def test_key_letters(spark):
     assert "[^" not in spark.range(1).select(F.lit("x").alias("x")).select(key)._jdf.queryExecution().analyzed().toString()
     low = spark.createDataFrame([(every,)], "x string").select(F.lower("x").alias("x"))
     assert low.select(key == F.trim(F.regexp_replace("x", "[^a-z0-9 ]+", ""))).first()[0]
+
+
+def test_distinct_tokens_are_matched_once(spark, late):
+    """No filter on the match is moved below the distinct, where it would run at every place of a token."""
+    plan = registry.QUERIES["join_phonetic"](spark, late)._jdf.queryExecution().optimizedPlan().toString()
+    match, distinct = plan.find("MapInPandas"), plan.find("Aggregate")
+    assert plan.count("best(") == 1 and 0 <= match < distinct
