@@ -119,3 +119,23 @@ def test_distinct_tokens_are_matched_once(spark, late):
     plan = registry.QUERIES["join_phonetic"](spark, late)._jdf.queryExecution().optimizedPlan().toString()
     match, distinct = plan.find("MapInPandas"), plan.find("Aggregate")
     assert plan.count("best(") == 1 and 0 <= match < distinct
+
+
+def test_long_words_are_matched_whole(spark, tmp_path):
+    """A word of any length is one token, compared with every term by brute force."""
+    import re
+
+    from voxloom.operators import minutes as M
+
+    texts = ["Kaf kafk Kafka\nErenthaaaaaa Erenthaaaaaaa Thiiooonnnaaattiion", "x1K" + "a" * 5000 + "fka, Oneration-Oooneeeraaatiooon", None, "", "Thionationinternationally äErenthaäOnerationnnnnn"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("s")).write.parquet(f"{tmp_path}/documents.parquet")
+    words = {w for t in texts if t for w in re.findall("[A-Za-z]+", t) if len(w) >= 4}
+    keys = M.term_keys(spark, sorted({*words, *M._TERMS}))
+    want = {}
+    for w in words:
+        score, _, term = max((M.alike(w, t, keys[w], keys[t]), -i, t) for i, t in enumerate(M._TERMS))
+        if score >= 0.7:
+            want[w] = (term, pytest.approx(score, abs=1e-6))
+    rows = registry.QUERIES["join_phonetic"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(want) and {r.token: (r.term, r.score) for r in rows} == want
+    assert {len(w) for w in want} >= {4, 12, 13, 19, 5004}
